@@ -19,6 +19,7 @@ table gives an empty table. Extra columns are not read.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,13 @@ from .scratch import Scratch
 
 #: Features are stored as whole multiples of 1 / SCALE.
 SCALE = 256
-FEATURES = ["f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_capitals"]
+FEATURES = ["f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_capitals", "f_stutter"]
 #: Least standard deviation of each feature, in its own units: what clean short texts vary by.
-FLOORS = [0.14, 0.07, 0.16, 0.16, 0.10]
-#: Consistency of the covariance of the closest 75 % under normality in five dimensions.
-CONSISTENCY = 1.41
-#: The 0.99999 quantile of chi-square with five degrees of freedom.
-CUTOFF = 30.86
+FLOORS = [0.14, 0.05, 0.16, 0.16, 0.10, 0.10]
+#: Consistency of the covariance of the closest 75 % under normality in six dimensions.
+CONSISTENCY = 1.36
+#: The 0.99999 quantile of chi-square with six degrees of freedom.
+CUTOFF = 33.11
 WINDOW = 8
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -68,10 +69,10 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return int((np.cumsum(edges[:n]) > 0).sum())
 
 
-def text_counts(text: str | None) -> tuple[int, int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals."""
+def text_counts(text: str | None) -> tuple[int, int, int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_stutter (words like the word before)."""
     if not text:
-        return 0, 0, 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0, 0, 0
     body = text.encode("utf-8", "surrogatepass")
     words = body.split()  # of bytes: splits at space and 9 to 13 only
     lines = [line for line in body.split(b"\n") if line.strip(SPACE)]
@@ -83,6 +84,7 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int, int]:
         repeated_words(words),
         len(lines),
         len(body) - len(body.translate(None, CAPITALS)),
+        sum(map(operator.eq, words[1:], words)),
     )
 
 
@@ -116,7 +118,7 @@ def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
 def document_counts(docs: DataFrame) -> DataFrame:
     """The base columns, group keys and features of every row; one pass, no shuffle."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    fields = ["doc_id", "g_lang", "g_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
+    fields = ["doc_id", "g_lang", "g_source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutter"]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,6 +139,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
         scaled(F.sqrt(F.col("n_dup_lines") / least("n_lines"))).alias(FEATURES[2]),
         scaled(F.sqrt(F.col("n_repeat_words") / least("n_words"))).alias(FEATURES[3]),
         scaled(F.sqrt(F.col("n_capitals") / least("word_chars"))).alias(FEATURES[4]),
+        scaled(F.sqrt(F.col("n_stutter") / least("n_words"))).alias(FEATURES[5]),
     )
 
 
