@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .mixing import mix
 from .piece_bpe import decode_documents, encode_documents
 from .quality_rules import quality_rules
+from .token_counts import token_counts
 from .url_filter import Rule, filter_urls
+from .warc import derive, response_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +56,35 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        F.col("_lines").cast("bigint").alias("n_lines"),
+        F.col("_gone_lines").cast("bigint").alias("n_removed_lines"),
+        F.col("_gone_chunks").cast("bigint").alias("n_removed_chunks"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = derive(response_records(_table(spark, sf_dir, "pages")))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_length", "block_digest", "source_digest", F.sha2("record", 256).alias("record_sha256"))
+
+
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
