@@ -59,6 +59,7 @@ class DigestIndex:
             rows.sortWithinPartitions("digest")
             .write.option("compression", "zstd")
             .option("parquet.bloom.filter.enabled#digest", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")  # as large as the run's digests need, not 1 MB a file
             .parquet(path)
         )
         return name, self.spark.read.schema("digest binary, least bigint, n bigint").parquet(path)
