@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
 from .mixing import mix
 from .piece_bpe import decode_documents, encode_documents
@@ -36,6 +37,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(_table(spark, sf_dir, "documents"))
     return judged.withColumn("d2", F.round("d2", 3))
@@ -81,6 +86,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_mixing": op9_mixing,
