@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .piece_bpe import decode_documents, encode_documents
 from .quality_rules import quality_rules
+from .suffix_dedup import removed_bytes, suffix_dedup
 from .token_counts import token_counts
 from .url_filter import Rule, filter_urls
 from .warc import derive, response_records
@@ -61,6 +62,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_bytes(suffix_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(_table(spark, sf_dir, "documents"))
     return kept.select(
@@ -82,6 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
