@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 LONG = 96
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 NONE = np.int64(1 << 62)
 LOW = np.int64((1 << 32) - 1)
 
