@@ -94,16 +94,21 @@ def line_dedup(docs: DataFrame, divisor: int = 3, least_words: int = 20, long_wo
 
         return pd.Series([cut(*x) for x in zip(texts, firsts, lasts, strict=True)], dtype=object)
 
-    marked = joined.where("_marks is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "_marks").dropDuplicates(["doc_id"])
-    bodies = marked.select("doc_id", "_marks", bytes_of("text", "_marks.first_line", "_marks.last_line").alias("bodies"))
-    bodies = bodies.select("doc_id", F.explode(F.arrays_zip("_marks", "bodies")).alias("m")).select("doc_id", "m._marks.*", F.col("m.bodies").alias("body"))
+    # Byte comparison. Digests that lie are next to never seen, so what is looked for are chunks unlike their first.
+    marked = joined.where("_marks is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "_marks", bytes_of("text", "_marks.first_line", "_marks.last_line").alias("bodies"))
+    bodies = marked.select("doc_id", F.explode(F.arrays_zip("_marks", "bodies")).alias("m")).select("doc_id", "m._marks.*", F.col("m.bodies").alias("body"))
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("chunk") == F.col("first.chunk"))
-    bodies = scratch.save(bodies.withColumn("is_first", is_first).drop("first"), "bodies")
-    firsts = bodies.where("is_first").select("digest", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("body").alias("stays"))
-    later = bodies.where("not is_first").withColumn("slice", F.pmod(F.xxhash64("doc_id", "chunk"), slices.cast("bigint")).cast("int"))
-    gone = later.join(firsts, ["digest", "slice"]).where("body = stays")
-    cuts = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first_line", "last_line")).alias("_cuts"))
-    cuts = scratch.save(cuts, "cuts")
+    firsts = bodies.where(is_first).select("digest", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("body").alias("stays"))
+    later = bodies.where(~is_first).select("doc_id", "chunk", "digest", "body", F.pmod(F.xxhash64("doc_id", "chunk"), slices.cast("bigint")).cast("int").alias("slice"))
+    unlike = scratch.save(later.join(firsts, ["digest", "slice"]).where("body != stays").select("doc_id", "chunk").distinct(), "unlike")
+    own = F.col("doc_id").cast("bigint")
+    cuts = F.filter("_marks", lambda m: ~((m["first"]["doc_id"] == own) & (m["first"]["chunk"] == m["chunk"])))
+    marked = joined.where("_marks is not null").withColumn("_cuts", cuts)
+    if unlike.limit(1).count():
+        spared = unlike.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("chunk").alias("_spared"))
+        marked = marked.join(spared, own == F.col("_id"), "left").drop("_id")
+        marked = marked.withColumn("_cuts", F.filter("_cuts", lambda m: ~F.coalesce(F.array_contains("_spared", m["chunk"]), F.lit(False)))).drop("_spared")
+    marked = marked.drop("_marks")
 
     @F.pandas_udf("struct<text: string, lines: int, gone: int>")
     def rest(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
@@ -114,10 +119,9 @@ def line_dedup(docs: DataFrame, divisor: int = 3, least_words: int = 20, long_wo
             out.append(("\n".join(x for k, x in enumerate(lines) if k not in drop), len(lines), len(drop)))
         return pd.DataFrame(out, columns=["text", "lines", "gone"])
 
-    marked = joined.where("_marks is not null").drop("_marks").join(cuts, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
     none = F.lit(0)
     whole = lambda rows: rows.withColumns({"_lines": n_lines, "_gone_lines": none, "_gone_chunks": none})
-    cut = marked.where("_cuts is not null").withColumn("_rest", rest("text", "_cuts.first_line", "_cuts.last_line"))
+    cut = marked.where("size(_cuts) > 0").withColumn("_rest", rest("text", "_cuts.first_line", "_cuts.last_line"))
     cut = cut.withColumns({"text": F.col("_rest.text"), "_lines": F.col("_rest.lines"), "_gone_lines": F.col("_rest.gone"), "_gone_chunks": F.size("_cuts")}).drop("_rest", "_cuts")
-    return whole(joined.where("_marks is null").drop("_marks")).unionByName(whole(marked.where("_cuts is null").drop("_cuts"))).unionByName(cut)
+    return whole(joined.where("_marks is null").drop("_marks")).unionByName(whole(marked.where("size(_cuts) = 0").drop("_cuts"))).unionByName(cut)
