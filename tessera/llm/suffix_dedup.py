@@ -193,16 +193,23 @@ def _settled(candidates: DataFrame, texts: DataFrame, length: int, group_most: i
 
     def hash_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, body, at in zip(batch["doc_id"], batch["body"], batch["at"], strict=True):
-                start = np.array([a["place"] >> 7 for a in at])
-                count = np.array([a["place"] & 127 for a in at])
-                data = np.frombuffer(body, np.uint8)
-                sizes = count + length - 1
-                slot = np.cumsum(sizes) - sizes
-                take = np.repeat(start - slot, sizes) + np.arange(sizes.sum())
-                (hashes,) = gram_hashes(data[take], length)
-                rows = [hashes[s : s + c].view(np.int64) for s, c in zip(slot, count, strict=True)]
-                yield pd.DataFrame({"key": [a["key"] for a in at], "c": [a["c"] for a in at], "doc_id": doc, "start": start, "strings": rows})
+            runs = pd.DataFrame(
+                [(k, a["place"] >> 7, a["place"] & 127, a["key"], a["c"]) for k, at in enumerate(batch["at"]) for a in at], columns=["row", "start", "count", "key", "c"]
+            )
+            sizes = runs["count"].to_numpy() + length - 1
+            # as many runs at once as fill a block, whichever documents they are from
+            for _, part in runs.groupby(np.cumsum(sizes) // BLOCK):
+                row, start, count = (part[c].to_numpy() for c in ("row", "start", "count"))
+                size = sizes[part.index]
+                rows = np.unique(row)
+                bodies = [np.frombuffer(b, np.uint8) for b in batch["body"].iloc[rows]]
+                spot = np.searchsorted(rows, row)
+                slot = np.cumsum(size) - size
+                data = np.concatenate([bodies[k][s : s + n] for k, s, n in zip(spot.tolist(), start.tolist(), size.tolist(), strict=True)])
+                (hashes,) = gram_hashes(data, length)
+                hashes = hashes.view(np.int64)
+                strings = [hashes[s : s + c] for s, c in zip(slot.tolist(), count.tolist(), strict=True)]
+                yield pd.DataFrame({"key": part["key"], "c": part["c"], "doc_id": batch["doc_id"].to_numpy()[row], "start": start, "strings": strings})
 
     hashed = texts.join(noted, "doc_id").mapInPandas(hash_strings, "key bigint, c bigint, doc_id bigint, start bigint, strings array<bigint>")
     hashed = scratch.save(hashed, "hashed")
@@ -210,19 +217,18 @@ def _settled(candidates: DataFrame, texts: DataFrame, length: int, group_most: i
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, group in _groups(batches, ["key"]):
             sizes = part["strings"].map(len).to_numpy()
-            own = np.concatenate(part["strings"].to_numpy())
             row = np.repeat(np.arange(len(part)), sizes)
-            doc = part["doc_id"].to_numpy()[row]
-            start = part["start"].to_numpy()[row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
-            order = np.lexsort((start, doc, own, group[row]))
-            own, group_of, doc, start = own[order], group[row][order], doc[order], start[order]
-            head = np.ones(len(own), bool)
-            head[1:] = (own[1:] != own[:-1]) | (group_of[1:] != group_of[:-1])
-            first = np.maximum.accumulate(np.where(head, np.arange(len(own)), 0))
-            late = (doc != doc[first]) | (start != start[first])
-            yield pd.DataFrame({"doc_id": doc[late], "place": start[late] * 128 + 1})
-
-    cold = hashed.where(F.col("c") <= group_most).repartition("key").sortWithinPartitions("key").mapInPandas(settle, "doc_id bigint, place bigint")
+            # rows come by document and start, so of equal strings the one that comes first is the earliest
+            own = np.concatenate(part["strings"].to_numpy()).view(np.uint64) ^ _mix(group.astype(np.uint64))[row]
+            order = np.argsort(own)
+            own = own[order]
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            first = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, len(own))))
+            late = np.sort(order[order != first])
+            start = part["start"].to_numpy()[row[late]] + late - (np.cumsum(sizes) - sizes)[row[late]]
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row[late]], "place": start * 128 + 1})
+
+    cold = hashed.where(F.col("c") <= group_most).repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInPandas(settle, "doc_id bigint, place bigint")
     each = hashed.where(F.col("c") > group_most).select("key", "doc_id", "start", F.posexplode("strings").alias("k", "string"))
     each = each.select("key", "string", "doc_id", (F.col("start") + F.col("k")).alias("start"))
     firsts = each.groupBy("key", "string").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -293,5 +299,3 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     for more in frames[1:]:
         out = out.unionByName(more)
     return out
-
-
