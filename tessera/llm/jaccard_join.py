@@ -12,8 +12,9 @@ regions around pivots:
    window of twice the radius sends every document to every region.)
 3. Recursion. Pivots with more than ``hot`` members, which frequent lines and phrases make, go to the end of the order
    and the regions are built again, so a common shingle gathers no region unless documents hold little else.
-4. Windows. Inside a region, sets are compared by their distances to ``CELLS`` cells of the shingle space: by the
-   triangle inequality the sum of the differences is at most |A Δ B|, which a link bounds. Sizes give a window, too.
+4. Windows. Inside a region, sets are compared by sketches: the parity of their distance to each cell of the shingle
+   space. By the triangle inequality the number of cells with different parities is at most |A Δ B|, which a link
+   bounds. Sizes give a window, too.
    Members are held against leaders; each leader and its nearest followers are verified exactly, shingle by shingle.
    Regions of one component are done. In the others every pair from different components that passes the windows is
    verified, so no link is lost; pairs inside a component are not made.
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 
-CELLS = 64
+#: Least and most cells of a sketch; between them a set has two to four cells for each shingle.
+FEWEST_CELLS, MOST_CELLS = 1 << 9, 1 << 12
 #: Most pivots that are put last; they are sent to every task.
 MOST_HOT = 200_000
 
@@ -77,16 +79,50 @@ def window_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
-def cells_of(shingles: np.ndarray) -> bytes:
-    """Members in each cell of the shingle space, at most 255."""
-    return np.minimum(np.bincount(shingles & (CELLS - 1), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parity of the set's members in each cell; cells are the low bits of the shingles, so halves of a sketch fold."""
+    cells = min(max(1 << (2 * len(shingles)).bit_length(), FEWEST_CELLS), MOST_CELLS)
+    odd = np.bincount(shingles & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-SIGNATURE = "id bigint, n bigint, digest binary, cells binary, pivots array<bigint>"
+class Sketches:
+    """Sketches of a batch by number of cells; those with more cells also stand, folded, with those that have fewer."""
+
+    def __init__(self, sketches: pd.Series):
+        self.words = sketches.map(len).to_numpy() // 8
+        self.by_words: dict[int, np.ndarray] = {}
+        values = sketches.to_numpy()
+        above = None
+        for words in sorted(set(self.words.tolist()), reverse=True):
+            own = np.flatnonzero(self.words == words)
+            table = np.zeros((len(sketches), words), np.uint64) if above is None else self._folded(above, words)
+            table[own] = np.frombuffer(b"".join(values[own]), np.uint64).reshape(-1, words)
+            above = self.by_words[words] = table
+
+    @staticmethod
+    def _folded(table: np.ndarray, words: int) -> np.ndarray:
+        while table.shape[1] > words:
+            half = table.shape[1] // 2
+            table = table[:, :half] ^ table[:, half:]
+        return table.copy()
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Cells in which the sets differ by an odd number, for each pair."""
+        out = np.zeros(len(a), np.int64)
+        least = np.minimum(self.words[a], self.words[b])
+        for words, table in self.by_words.items():
+            some = np.flatnonzero(least == words)
+            if len(some):
+                out[some] = np.bitwise_count(table[a[some]] ^ table[b[some]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+SIGNATURE = "id bigint, n bigint, digest binary, sketch binary, pivots array<bigint>"
 
 
 def _signatures(texts: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
-    """Size, digest, cells and pivots of every set; ``last`` are the pivots at the end of the order."""
+    """Size, digest, sketch and pivots of every set; ``last`` are the pivots at the end of the order."""
     shared = texts.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,8 +137,8 @@ def _signatures(texts: DataFrame, width: int, percent: int, last: np.ndarray) ->
                 else:
                     ordered = own
                 pivots = ordered[: window_length(len(own), percent)] if len(own) else own
-                rows.append((i, len(own), xxhash.xxh3_128_digest(own.tobytes()), cells_of(own), pivots))
-            yield pd.DataFrame(rows, columns=["id", "n", "digest", "cells", "pivots"])
+                rows.append((i, len(own), xxhash.xxh3_128_digest(own.tobytes()), sketch_of(own), pivots))
+            yield pd.DataFrame(rows, columns=["id", "n", "digest", "sketch", "pivots"])
 
     return texts.mapInPandas(run, SIGNATURE)
 
@@ -135,16 +171,14 @@ def _numbers(part: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _near(cells: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets a and b may link, by their sizes and their distances to the cells."""
+def _near(sketches: Sketches, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets a and b may link, by their sizes and their sketches."""
     small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
     fits = 100 * small >= percent * large
     at = np.flatnonzero(fits)
-    for start in range(0, len(at), 1 << 16):
-        some = at[start : start + (1 << 16)]
-        x, y = cells[a[some]], cells[b[some]]
-        apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-        fits[some] = apart * (100 + percent) <= (n[a[some]] + n[b[some]]) * (100 - percent)
+    for start in range(0, len(at), 1 << 14):
+        some = at[start : start + (1 << 14)]
+        fits[some] = sketches.apart(a[some], b[some]) * (100 + percent) <= (n[a[some]] + n[b[some]]) * (100 - percent)
     return fits
 
 
@@ -154,7 +188,7 @@ def _leaders(percent: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, group in _groups(batches, ["pivot", "block"]):
             ids, n = part["id"].to_numpy(), part["n"].to_numpy()
-            cells = np.frombuffer(b"".join(part["cells"]), np.uint8).reshape(-1, CELLS)
+            sketches = Sketches(part["sketch"])
             rest = np.arange(len(part))
             found = []
             while len(rest):
@@ -162,7 +196,7 @@ def _leaders(percent: int) -> Callable:
                 first[1:] = group[rest][1:] != group[rest][:-1]
                 lead = rest[np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))]
                 lead, rest = lead[~first], rest[~first]
-                near = _near(cells, n, lead, rest, percent)
+                near = _near(sketches, n, lead, rest, percent)
                 found.append((ids[lead[near]], ids[rest[near]]))
                 rest = rest[~near]
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
@@ -177,7 +211,7 @@ def _crossing(percent: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, group in _groups(batches, ["pivot", "low", "high"]):
             ids, n, comp = part["id"].to_numpy(), part["n"].to_numpy(), part["comp"].to_numpy()
-            cells = np.frombuffer(b"".join(part["cells"]), np.uint8).reshape(-1, CELLS)
+            sketches = Sketches(part["sketch"])
             active, lag = np.arange(len(part)), 1
             while len(active):
                 active = active[active + lag < len(part)]
@@ -186,7 +220,7 @@ def _crossing(percent: int) -> Callable:
                 active, other = active[open_], other[open_]
                 differ = comp[active] != comp[other]
                 a, b = active[differ], other[differ]
-                near = _near(cells, n, a, b, percent)
+                near = _near(sketches, n, a, b, percent)
                 if near.any():
                     a, b = ids[a[near]], ids[b[near]]
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -244,7 +278,7 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
 
     # 1. Classes of equal sets; a class is named by its smallest document.
     firsts = signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = scratch.save(signed.select(F.col("id").alias("doc_id"), "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(firsts, "digest", "left").select("doc_id", "n", "rep"), "classes")
+    classes = scratch.save(signed.select(F.col("id").alias("doc_id"), "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(firsts, "digest", "left").select("doc_id", "n", "rep"), "classes")
     reps = classes.where("doc_id = rep").select(F.col("rep").alias("id")).distinct()
 
     # 2. and 3. Regions, built again with the pivots of too large ones at the end of the order.
@@ -264,7 +298,7 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
         sizes = scratch.save(sent.groupBy("pivot").count().where("count > 1"), "sizes1")
     shared = scratch.save(sent.join(sizes, "pivot").select("pivot", "count", "id"), "shared")
     scratch.drop("sent1" if len(late) else "sent0")
-    about = signed.select("id", "n", "cells").dropDuplicates(["id"])
+    about = signed.select("id", "n", "sketch").dropDuplicates(["id"])
 
     # 4. Leaders and their followers.
     blocks = F.ceil(F.col("count") / block).cast("int")
@@ -273,7 +307,7 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
 
     def led(rows: DataFrame, name: str) -> DataFrame:
         rows = rows.join(about, "id").repartition("pivot", "block").sortWithinPartitions("pivot", "block", "n", "id")
-        pairs = rows.select("pivot", "block", "id", "n", "cells").mapInPandas(_leaders(percent), "a bigint, b bigint")
+        pairs = rows.select("pivot", "block", "id", "n", "sketch").mapInPandas(_leaders(percent), "a bigint, b bigint")
         return scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")), f"pairs_{name}")
 
     labels, links = no_labels, None
@@ -295,7 +329,7 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     rows = rows.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "n", "id")
-    pairs = rows.select("pivot", "low", "high", "id", "n", "cells", "comp").mapInPandas(_crossing(percent), "a bigint, b bigint")
+    pairs = rows.select("pivot", "low", "high", "id", "n", "sketch", "comp").mapInPandas(_crossing(percent), "a bigint, b bigint")
     pairs = scratch.save(pairs.distinct(), "pairs_all")
     more = _verified(pairs, texts, width, percent, scratch, "all") if pairs.limit(1).count() else pairs
     if all_links:
