@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tessera.plans import byte_queries, column_queries, line_queries, report_queries
+
+PARTS = (line_queries, column_queries, byte_queries, report_queries)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE: dict = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
