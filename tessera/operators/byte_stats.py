@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scalars import varint_len
 
@@ -18,12 +19,12 @@ from tessera.functions.scalars import varint_len
 TEXT_CONTROLS = (9, 10, 13)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def byte_counts(content: pd.Series) -> pd.Series:
     return content.map(lambda b: np.bincount(np.frombuffer(b or b"", np.uint8), minlength=256))
 
 
-@F.pandas_udf("array<struct<byte: int, run: bigint>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("byte", T.IntegerType()).add("run", T.LongType())))
 def byte_runs(content: pd.Series) -> pd.Series:
     def runs(b):
         data = np.frombuffer(b or b"", np.uint8)
@@ -35,7 +36,7 @@ def byte_runs(content: pd.Series) -> pd.Series:
     return content.map(runs)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def context_counts(content: pd.Series) -> pd.Series:
     """Bytes after each of 16 contexts: the high half of the byte before; 0 stands before the first."""
 
@@ -46,7 +47,7 @@ def context_counts(content: pd.Series) -> pd.Series:
     return content.map(count)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def huffman_bits(counts: pd.Series) -> pd.Series:
     """Bits of an optimal prefix code: every merge of the two rarest nodes adds one bit to all bytes below it."""
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def delta(d: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def undo_filter(content: Column, name: str, length: Column) -> Column:
     return run(content, length)
 
 
-@F.pandas_udf("struct<exponents: array<int>, signs: int, mantissa: binary>")
+@F.pandas_udf(T.StructType().add("exponents", T.ArrayType(T.IntegerType())).add("signs", T.IntegerType()).add("mantissa", T.BinaryType()))
 def float_parts(vectors: pd.Series) -> pd.DataFrame:
     """32-bit floats apart: exponents, the number of minus signs, and the mantissas' bytes."""
     bits = [np.asarray(v, np.float32).view(np.uint32) for v in vectors]

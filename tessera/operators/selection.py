@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.filters import FILTERS
 
@@ -39,12 +40,12 @@ def decoded(payload: bytes, name: str, length: int) -> bytes:
     return content[:length]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode(content: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([encoded(bytes(c), n) for c, n in zip(content, name, strict=True)], dtype=object)
 
 
-@F.pandas_udf("struct<content: binary, error: string>")
+@F.pandas_udf(T.StructType().add("content", T.BinaryType()).add("error", T.StringType()))
 def decode(payload: pd.Series, name: pd.Series, length: pd.Series) -> pd.DataFrame:
     """A payload that is cut or damaged gives an error instead of content."""
     out = []
@@ -56,13 +57,13 @@ def decode(payload: pd.Series, name: pd.Series, length: pd.Series) -> pd.DataFra
     return pd.DataFrame(out, columns=["content", "error"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def deflated(content: pd.Series) -> pd.Series:
     """The baseline: zlib at its best level."""
     return content.map(lambda b: zlib.compress(b or b"", LEVEL))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inflated(content: pd.Series) -> pd.Series:
     return content.map(zlib.decompress)
 

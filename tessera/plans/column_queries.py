@@ -17,11 +17,9 @@ KEYS = ["supp", "col"]
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").withColumn("row_no", F.row_number().over(order).cast("bigint"))
-    cells = F.array(
-        F.struct(F.lit("order").alias("col"), F.col("l_orderkey").cast("string").alias("value")),
-        F.struct(F.lit("quantity"), F.lpad(F.col("l_quantity").cast("bigint").cast("string"), 4, "0")),
-        F.struct(F.lit("flag"), F.concat("l_returnflag", "l_linestatus")),
-    )
+    cell = lambda name, value: F.struct(F.lit(name).alias("col"), value.alias("value"))
+    quantity = F.lpad(F.col("l_quantity").cast("bigint").cast("string"), 4, "0")
+    cells = F.array(cell("order", F.col("l_orderkey").cast("string")), cell("quantity", quantity), cell("flag", F.concat("l_returnflag", "l_linestatus")))
     return rows.select(F.col("l_suppkey").alias("supp"), "row_no", F.inline(cells)).select("supp", "col", "row_no", "value")
 
 

@@ -111,7 +111,7 @@ def _mining_sql(o: MiningOptions, by: str = "file") -> str:
 
 _MATCHED = f"""{_templates(STANDARD)},
 m as (select k.*, t.template_id from k left join t on k.file = t.file and k.shape = t.shape)"""
-_VALUE = f"list_transform(vars, x -> 1 + {varint('strlen(x)')} + {varint('x::bigint')})"
+_VALUE = f"list_transform(vars, lambda x: 1 + {varint('strlen(x)')} + {varint('x::bigint')})"
 
 ORACLE = {
     "line_split": r"""
@@ -131,7 +131,7 @@ select file, sum(case when template_id is null then 1 + {varint('strlen(line)')}
 p as (select *, last_value(template_id ignore nulls) over (partition by file order by line_no rows between unbounded preceding and 1 preceding) as before from m)
 select file, line_no, case when template_id is null then 0 when template_id = before then 2 else 1 end::bigint as tag from p""",
     "template_dictionary_bytes": f"""with {_templates(STANDARD)},
-p as (select *, list_sum(list_transform(string_split(shape, '#'), x -> {varint('strlen(x)')} + strlen(x))) as parts from t)
+p as (select *, list_sum(list_transform(string_split(shape, '#'), lambda x: {varint('strlen(x)')} + strlen(x))) as parts from t)
 select file, ({varint('count(*)')} + sum({varint('slots')} + parts + slots))::bigint as dictionary_bytes, count(*) as templates from p group by file""",
     "variable_long_form": f"""with {_MATCHED},
 n as (select *, row_number() over (partition by file, template_id order by line_no) - 1 as row_no from m where template_id is not null)

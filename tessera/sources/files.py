@@ -11,7 +11,7 @@ DEFAULT_CHUNK = 16 * 1024 * 1024
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file, content`` of every file below ``path``."""
+    """``file, content`` of every file below ``path``; Spark's reader leaves out files without bytes."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
 
