@@ -19,6 +19,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .scratch import Scratch
 from .text import utf8
@@ -33,7 +34,7 @@ def _digester(size: int):
     return digest
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def normalised(texts: pd.Series) -> pd.Series:
     """A-Z lower-cased UTF-8 bytes."""
     return texts.map(lambda b: bytes(b).lower())
