@@ -16,8 +16,9 @@ regions around pivots:
    space. By the triangle inequality the number of cells with different parities is at most |A Δ B|, which a link
    bounds. Sizes give a window, too.
    Members are held against leaders; each leader and its nearest followers are verified exactly, shingle by shingle.
-   Regions of one component are done. In the others every pair from different components that passes the windows is
-   verified, so no link is lost; pairs inside a component are not made.
+   Regions of one component are done. In the others the nearest pair of every two components is verified, which merges
+   most of them; then every pair that passes the windows and still lies between components, so no link is lost. Pairs
+   inside a component are not made.
 
 Regions of more than ``block`` members are dealt to tasks by blocks and pairs of blocks.
 
@@ -205,14 +206,28 @@ def _leaders(percent: int) -> Callable:
     return run
 
 
-def _crossing(percent: int) -> Callable:
-    """All near pairs of a group from different components. Rows are sorted by size, so the window closes early."""
+def _nearest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of pairs (x, y, score, a, b) the one with the least score for each two components x, y."""
+    x, y, score, a, b = (np.concatenate([f[k] for f in found]) for k in range(5))
+    order = np.lexsort((b, a, score, y, x))
+    x, y = x[order], y[order]
+    first = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+    at = order[first]
+    return x[first], y[first], score[at], a[at], b[at]
+
+
+def _crossing(percent: int, nearest: bool) -> Callable:
+    """Near pairs of a group from different components: all, or the nearest of every two components.
+
+    Rows are sorted by size, so the window closes early.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, group in _groups(batches, ["pivot", "low", "high"]):
             ids, n, comp = part["id"].to_numpy(), part["n"].to_numpy(), part["comp"].to_numpy()
             sketches = Sketches(part["sketch"])
             active, lag = np.arange(len(part)), 1
+            found, held = [], 0
             while len(active):
                 active = active[active + lag < len(part)]
                 other = active + lag
@@ -221,10 +236,22 @@ def _crossing(percent: int) -> Callable:
                 differ = comp[active] != comp[other]
                 a, b = active[differ], other[differ]
                 near = _near(sketches, n, a, b, percent)
-                if near.any():
-                    a, b = ids[a[near]], ids[b[near]]
-                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                a, b = a[near], b[near]
                 lag += 1
+                if not len(a):
+                    continue
+                if not nearest:
+                    yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+                    continue
+                score = sketches.apart(a, b) / (n[a] + n[b])
+                found.append((np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b]), score, np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])))
+                held += len(a)
+                if held > 1 << 18:
+                    found = [_nearest(found)]
+                    held = len(found[0][0])
+            if found:
+                x, y, score, a, b = _nearest(found)
+                yield pd.DataFrame({"x": x, "y": y, "score": score, "a": a, "b": b})
 
     return run
 
@@ -322,16 +349,26 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
             links = links.unionByName(_verified(led(heads.drop("comp"), "heads"), texts, width, percent, scratch, "heads"))
             labels = connected_components(links, scratch, "heads")
 
-    # Every near pair from different components, in the regions that still have several.
-    named = scratch.save(members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
-    mixed = named.groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("pivot")
-    rows = named.join(mixed, "pivot").join(about, "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    rows = rows.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "n", "id")
-    pairs = rows.select("pivot", "low", "high", "id", "n", "sketch", "comp").mapInPandas(_crossing(percent), "a bigint, b bigint")
-    pairs = scratch.save(pairs.distinct(), "pairs_all")
-    more = _verified(pairs, texts, width, percent, scratch, "all") if pairs.limit(1).count() else pairs
+    # Near pairs from different components, in the regions that still have several.
+    def crossing(name: str, nearest: bool) -> DataFrame:
+        named = scratch.save(members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), f"named_{name}")
+        mixed = named.groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("pivot")
+        rows = named.join(mixed, "pivot").join(about, "id")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        rows = rows.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "n", "id")
+        fields = "x bigint, y bigint, score double, a bigint, b bigint" if nearest else "a bigint, b bigint"
+        pairs = rows.select("pivot", "low", "high", "id", "n", "sketch", "comp").mapInPandas(_crossing(percent, nearest), fields)
+        if nearest:
+            pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = scratch.save(pairs.distinct(), f"pairs_{name}")
+        scratch.drop(f"named_{name}")
+        return _verified(pairs, texts, width, percent, scratch, name) if pairs.limit(1).count() else pairs
+
+    if not all_links:
+        links = links.unionByName(crossing("near", True))
+        labels = connected_components(links, scratch, "near")
+    more = crossing("all", False)
     if all_links:
         return classes, None, labels, more
     return classes, links, connected_components(links.unionByName(more), scratch, "all"), more
