@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is written: shuffle files go with the job, and Python workers get small batches of texts.
+WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,22 +34,24 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        with self._shuffles_go():
+        with self._saving():
             df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @contextlib.contextmanager
-    def _shuffles_go(self):
-        """Shuffle files of a written table are removed with its job, not whenever the driver collects its garbage."""
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+    def _saving(self):
+        """WHILE_SAVING holds inside; shuffle files would else stay until the driver collects its garbage."""
+        before = {k: self.spark.conf.get(k, None) for k in WHILE_SAVING}
+        for k, v in WHILE_SAVING.items():
+            self.spark.conf.set(k, v)
         try:
             yield
         finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
 
     def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
