@@ -10,6 +10,7 @@ regions around pivots:
    n - ceil(n * percent / 100) + 1: to these regions the set is replicated, and linked sets meet in one of them.
    (Pivots that are whole documents do not work on text: unrelated documents are all at a distance near 1, so the
    window of twice the radius sends every document to every region.)
+   Of the regions that have the same members one is kept.
 3. Recursion. Pivots with more than ``hot`` members, which frequent lines and phrases make, go to the end of the order
    and the regions are built again, so a common shingle gathers no region unless documents hold little else.
 4. Windows. Inside a region, sets are compared by sketches: the parity of their distance to each cell of the shingle
@@ -310,11 +311,16 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
 
     # 2. and 3. Regions, built again with the pivots of too large ones at the end of the order.
     def regions(signed: DataFrame, name: str) -> DataFrame:
-        sent = signed.join(reps, "id", "left_semi").select("id", F.explode("pivots").alias("pivot"))
+        sent = signed.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("pivots").alias("pivot"))
         return scratch.save(sent, f"sent{name}")
 
+    def sized(sent: DataFrame, name: str) -> DataFrame:
+        """Regions of two members or more. ``x`` and ``y`` tell which: ids are distinct, so their hashes' parities do."""
+        members = sent.groupBy("pivot").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+        return scratch.save(members.where("count > 1"), f"sizes{name}")
+
     sent = regions(signed, "0")
-    sizes = scratch.save(sent.groupBy("pivot").count().where("count > 1"), "sizes0")
+    sizes = sized(sent, "0")
     limit = max(hot, -(-sent.count() // MOST_HOT))
     late = sizes.where(F.col("count") > limit).select("pivot").toPandas()["pivot"].to_numpy(np.int64)
     if len(late):
@@ -322,7 +328,9 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
         scratch.drop("sent0")
         scratch.drop("signed")
         sent = regions(signed, "1")
-        sizes = scratch.save(sent.groupBy("pivot").count().where("count > 1"), "sizes1")
+        sizes = sized(sent, "1")
+    # Near copies share most of their pivots: of the regions with the same members one does.
+    sizes = scratch.save(sizes.groupBy("count", "x", "y").agg(F.min("pivot").alias("pivot")).select("pivot", "count"), "chosen")
     shared = scratch.save(sent.join(sizes, "pivot").select("pivot", "count", "id"), "shared")
     scratch.drop("sent1" if len(late) else "sent0")
     about = signed.select("id", "n", "sketch").dropDuplicates(["id"])
