@@ -16,7 +16,7 @@ regions around pivots:
 4. Windows. Inside a region, sets are compared by sketches: the parity of their distance to each cell of the shingle
    space. By the triangle inequality the number of cells with different parities is at most |A Δ B|, which a link
    bounds. Sizes give a window, too.
-   Members are held against leaders; each leader and its nearest followers are verified exactly, shingle by shingle.
+   Members are held against leaders in the regions of their first pivots; each leader and its nearest followers are verified exactly, shingle by shingle.
    Regions of one component are done. In the others the nearest pair of every two components is verified, which merges
    most of them; then every pair that passes the windows and still lies between components, so no link is lost. Pairs
    inside a component are not made.
@@ -42,8 +42,10 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 
-#: Least and most cells of a sketch; between them a set has two to four cells for each shingle.
-FEWEST_CELLS, MOST_CELLS = 1 << 9, 1 << 12
+#: Least and most cells of a sketch; between them a set has five to ten cells for each shingle that a link lets it lack.
+FEWEST_CELLS, MOST_CELLS = 1 << 8, 1 << 12
+#: In the regions of its first pivots a set looks for a leader; one of them does for most families of near copies.
+FIRST = 4
 #: Most pivots that are put last; they are sent to every task.
 MOST_HOT = 200_000
 
@@ -81,9 +83,9 @@ def window_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
-def sketch_of(shingles: np.ndarray) -> bytes:
+def sketch_of(shingles: np.ndarray, percent: int) -> bytes:
     """Parity of the set's members in each cell; cells are the low bits of the shingles, so halves of a sketch fold."""
-    cells = min(max(1 << (2 * len(shingles)).bit_length(), FEWEST_CELLS), MOST_CELLS)
+    cells = min(max(1 << (len(shingles) * (100 - percent) // 20).bit_length(), FEWEST_CELLS), MOST_CELLS)
     odd = np.bincount(shingles & (cells - 1), minlength=cells) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -139,7 +141,7 @@ def _signatures(texts: DataFrame, width: int, percent: int, last: np.ndarray) ->
                 else:
                     ordered = own
                 pivots = ordered[: window_length(len(own), percent)] if len(own) else own
-                rows.append((i, len(own), xxhash.xxh3_128_digest(own.tobytes()), sketch_of(own), pivots))
+                rows.append((i, len(own), xxhash.xxh3_128_digest(own.tobytes()), sketch_of(own, percent), pivots))
             yield pd.DataFrame(rows, columns=["id", "n", "digest", "sketch", "pivots"])
 
     return texts.mapInPandas(run, SIGNATURE)
@@ -220,6 +222,7 @@ def _nearest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 def _crossing(percent: int, nearest: bool) -> Callable:
     """Near pairs of a group from different components: all, or the nearest of every two components.
 
+    With the nearest come rows without a score: x is a pivot, and y a member of its region that is in some such pair.
     Rows are sorted by size, so the window closes early.
     """
 
@@ -228,7 +231,7 @@ def _crossing(percent: int, nearest: bool) -> Callable:
             ids, n, comp = part["id"].to_numpy(), part["n"].to_numpy(), part["comp"].to_numpy()
             sketches = Sketches(part["sketch"])
             active, lag = np.arange(len(part)), 1
-            found, held = [], 0
+            found, held, met = [], 0, np.zeros(len(part), bool)
             while len(active):
                 active = active[active + lag < len(part)]
                 other = active + lag
@@ -244,6 +247,7 @@ def _crossing(percent: int, nearest: bool) -> Callable:
                 if not nearest:
                     yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
                     continue
+                met[a] = met[b] = True
                 score = sketches.apart(a, b) / (n[a] + n[b])
                 found.append((np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b]), score, np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])))
                 held += len(a)
@@ -253,6 +257,7 @@ def _crossing(percent: int, nearest: bool) -> Callable:
             if found:
                 x, y, score, a, b = _nearest(found)
                 yield pd.DataFrame({"x": x, "y": y, "score": score, "a": a, "b": b})
+                yield pd.DataFrame({"x": part["pivot"].to_numpy()[met], "y": ids[met], "score": None, "a": 0, "b": 0}).astype({"score": "float64"})
 
     return run
 
@@ -311,7 +316,8 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
 
     # 2. and 3. Regions, built again with the pivots of too large ones at the end of the order.
     def regions(signed: DataFrame, name: str) -> DataFrame:
-        sent = signed.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("pivots").alias("pivot"))
+        sent = signed.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", F.posexplode("pivots").alias("at", "pivot"))
+        sent = sent.select("id", "pivot", (F.col("at") < FIRST).alias("first"))
         return scratch.save(sent, f"sent{name}")
 
     def sized(sent: DataFrame, name: str) -> DataFrame:
@@ -331,7 +337,7 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
         sizes = sized(sent, "1")
     # Near copies share most of their pivots: of the regions with the same members one does.
     sizes = scratch.save(sizes.groupBy("count", "x", "y").agg(F.min("pivot").alias("pivot")).select("pivot", "count"), "chosen")
-    shared = scratch.save(sent.join(sizes, "pivot").select("pivot", "count", "id"), "shared")
+    shared = scratch.save(sent.join(sizes, "pivot").select("pivot", "count", "id", "first"), "shared")
     scratch.drop("sent1" if len(late) else "sent0")
     about = signed.select("id", "n", "sketch").dropDuplicates(["id"])
 
@@ -347,7 +353,7 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
 
     labels, links = no_labels, None
     if not all_links:
-        links = _verified(led(members, "led"), texts, width, percent, scratch, "led")
+        links = _verified(led(members.where("first"), "led"), texts, width, percent, scratch, "led")
         labels = connected_components(links, scratch, "led")
         if sizes.where(F.col("count") > block).limit(1).count():
             # one member of each component and block leads on, so that components in several blocks meet
@@ -358,7 +364,7 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
             labels = connected_components(links, scratch, "heads")
 
     # Near pairs from different components, in the regions that still have several.
-    def crossing(name: str, nearest: bool) -> DataFrame:
+    def crossing(name: str, members: DataFrame, nearest: bool) -> DataFrame:
         named = scratch.save(members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), f"named_{name}")
         mixed = named.groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("pivot")
         rows = named.join(mixed, "pivot").join(about, "id")
@@ -368,15 +374,19 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
         fields = "x bigint, y bigint, score double, a bigint, b bigint" if nearest else "a bigint, b bigint"
         pairs = rows.select("pivot", "low", "high", "id", "n", "sketch", "comp").mapInPandas(_crossing(percent, nearest), fields)
         if nearest:
-            pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
+            pairs = scratch.save(pairs, "met")
+            pairs = pairs.where("score is not null and not isnan(score)").groupBy("x", "y").agg(F.min(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
         pairs = scratch.save(pairs.distinct(), f"pairs_{name}")
         scratch.drop(f"named_{name}")
         return _verified(pairs, texts, width, percent, scratch, name) if pairs.limit(1).count() else pairs
 
     if not all_links:
-        links = links.unionByName(crossing("near", True))
+        links = links.unionByName(crossing("near", members, True))
         labels = connected_components(links, scratch, "near")
-    more = crossing("all", False)
+        # pairs that are left are of members that were in near pairs of the same region before
+        met = spark.read.parquet(f"{scratch.base}/met").where("score is null or isnan(score)")
+        members = members.join(met.select(F.col("x").alias("pivot"), F.col("y").alias("id")), ["pivot", "id"], "left_semi")
+    more = crossing("all", members, False)
     if all_links:
         return classes, None, labels, more
     return classes, links, connected_components(links.unionByName(more), scratch, "all"), more
