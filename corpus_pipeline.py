@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's docs. All but the last return the columns of ``documents``.
 
 1. quality: documents that the base rules or the robust outlier test of their language and source reject go.
-2. line_dedup: chunks of lines that an earlier document has go; a document that loses all its lines this way goes.
+2. line_dedup: chunks of lines, and runs of lines with 50 words or more, that come earlier go; a document that loses all its lines this way goes.
 3. near_duplicates: of documents linked by five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays.
 4. mixing: every document is repeated as often as the mix of sources takes it.
 5. encode: pieces of each text with merge dropout, and whether they decode to it.
@@ -44,7 +44,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup(docs, scratch=_scratch(spark))
+    kept = line_dedup(docs, scratch=_scratch(spark), passages=True)
     emptied = (F.col("_gone_lines") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return kept.where(~emptied).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 

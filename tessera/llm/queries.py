@@ -67,7 +67,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(_table(spark, sf_dir, "documents"))
+    kept = line_dedup(_table(spark, sf_dir, "documents"), passages=True)
     return kept.select(
         "doc_id",
         F.col("_lines").cast("bigint").alias("n_lines"),

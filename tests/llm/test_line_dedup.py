@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.llm.line_dedup import chunks_of, line_dedup
+from tessera.llm.line_dedup import PASSAGE, chunks_of, line_dedup, needed
 
 
 def test_repeated_chunks_go(spark):
@@ -34,3 +34,48 @@ def test_repeated_chunks_go(spark):
         gone += keep.count(False)
         assert got[doc_id] == "\n".join(x for x, k in zip(lines, keep, strict=True) if k)
     assert gone > 100 and len(got) == len(docs)
+
+
+def test_repeated_passages_go(spark):
+    dice = random.Random(9)
+    line = lambda n: " ".join(f"w{dice.randrange(5000)}" for _ in range(n))
+    passages = [[line(dice.randrange(0, 30)) for _ in range(n)] for n in (2, 3, 3, 4, 4, 5, 6, 6, 12)] + [["", "", line(49), "", line(1)], [line(20)] * 7]
+    docs = []
+    for k in range(60):
+        lines = [line(dice.randrange(0, 9)) for _ in range(dice.randrange(1, 6))]
+        for shared in dice.sample(passages, dice.randrange(0, 4)):
+            at = dice.randrange(len(lines) + 1)
+            lines[at:at] = shared[dice.randrange(2) :]
+        docs.append((k, "\n".join(lines)))
+    settings = {"divisor": 3, "least_words": 20, "long_words": 50}
+    frame = spark.createDataFrame([*docs, (99, None), (98, "")], "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in line_dedup(frame, **settings, passages=True).collect()}
+    short = {r["doc_id"]: r["text"] for r in line_dedup(frame, **settings).collect()}
+    assert got.pop(99) is None and got.pop(98) == ""
+    seen, chunks, more = set(), set(), 0
+    for doc_id, text in docs:
+        lines = text.split("\n")
+        keep = [True] * len(lines)
+        for _, _, a, b in chunks_of(text, **settings):
+            if (own := tuple(lines[a : b + 1])) in chunks:
+                keep[a : b + 1] = [False] * (b + 1 - a)
+            chunks.add(own)
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                own = tuple(lines[a : b + 1])
+                if len(" ".join(own).split()) >= 50:
+                    if own in seen:
+                        keep[a : b + 1] = [False] * (b + 1 - a)
+                    seen.add(own)
+        assert got[doc_id] == "\n".join(x for x, k in zip(lines, keep, strict=True) if k)
+        more += len(short[doc_id]) > len(got[doc_id])
+    assert more > 10 and len(got) == len(docs)
+
+
+def test_needed_windows_cover_the_same_lines():
+    dice = random.Random(3)
+    for _ in range(3000):
+        marks = [(k + dice.choice([0, PASSAGE]), a, a + dice.randrange(1, 7)) for k, a in enumerate(dice.choices(range(40), k=dice.randrange(1, 15)))]
+        keep = needed(marks)
+        covered = lambda some: {x for _, a, b in some for x in range(a, b + 1)}
+        assert covered(m for m, k in zip(marks, keep, strict=True) if k) == covered(marks)
