@@ -189,7 +189,10 @@ class SuffixIndex:
 
 def _settled(candidates: DataFrame, texts: DataFrame, length: int, group_most: int, scratch: Scratch) -> DataFrame:
     """Places (doc_id, place) of candidates' strings that start earlier elsewhere; runs of strings, as in entries."""
-    noted = candidates.groupBy("doc_id", "place", "key").agg(F.max("c").alias("c")).groupBy("doc_id").agg(F.collect_list(F.struct("place", "key", "c")).alias("at"))
+    # A key's count can fall from batch to batch; all its candidates go by the greatest, or some would not meet.
+    common = candidates.groupBy("key").agg(F.max("c").alias("most")).where(F.col("most") > group_most)
+    noted = candidates.groupBy("doc_id", "place", "key").agg(F.max("c").alias("c")).join(common, "key", "left").withColumn("c", F.coalesce("most", "c"))
+    noted = noted.groupBy("doc_id").agg(F.collect_list(F.struct("place", "key", "c")).alias("at"))
 
     def hash_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

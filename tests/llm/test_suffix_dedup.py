@@ -46,6 +46,19 @@ def test_like_brute_force(spark, group_most):
     assert sorted(map(tuple, found)) == brute(docs)
 
 
+def test_key_that_is_common_in_one_batch_only(spark):
+    """Its count is 12 in the second batch and 8 in the third, whose string starts earlier only in rows noted before."""
+    dice = random.Random(8)
+    text = lambda n: "".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = text(130)
+    variant = lambda: text(150) + passage + text(150)
+    docs = [(k, variant()) for k in range(6)]
+    docs += [(100 + k, docs[k][1]) for k in range(5)] + [(105, variant()), (299, variant())]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], SCHEMA)
+    found = removed_bytes(suffix_dedup(df, batches=3, group_most=8)).collect()
+    assert sorted(map(tuple, found)) == brute(docs)
+
+
 def test_empty_table_and_row_without_id(spark):
     assert suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, "z" * 150, "", 0), (1, "z" * 120, "", 0)], SCHEMA)
