@@ -84,6 +84,19 @@ def winners(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.where("valid").groupBy(*keys).agg(best.alias("best")).select(*keys, "best.candidate", "best.bytes")
 
 
+def packed(content: bytes) -> tuple[int, str, bytes]:
+    """Bytes with the frame, candidate and payload of what ``winners`` takes; only payloads that may win are decoded."""
+    payloads = [encoded(content, name) for name in CANDIDATES]
+    sizes = [len(p) + (0 if name == "deflate" else FRAME) for p, name in zip(payloads, CANDIDATES, strict=True)]
+    best = next(k for k in sorted(range(len(sizes)), key=sizes.__getitem__) if decoded(payloads[k], CANDIDATES[k], len(content)) == content)
+    return sizes[best], CANDIDATES[best], payloads[best]
+
+
+@F.pandas_udf(T.LongType())
+def packed_size(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: packed(bytes(b))[0]).astype("int64")
+
+
 def in_chunks(rows: DataFrame, keys: list[str], size: int, content: str = "content") -> DataFrame:
     """Content in chunks of ``size`` bytes: ``chunk_no`` from 0. Empty content has none."""
     count = F.ceil(F.octet_length(content) / size).cast("int")
@@ -93,7 +106,7 @@ def in_chunks(rows: DataFrame, keys: list[str], size: int, content: str = "conte
 
 def chunked_size(sizes: Column) -> Column:
     """Bytes of a chunked file, from the sizes of its packed chunks."""
-    return (CHUNK_FILE + F.sum(CHUNK + sizes)).cast("bigint")
+    return (CHUNK_FILE + F.coalesce(F.sum(CHUNK + sizes), F.lit(0))).cast("bigint")
 
 
 def block_tournament(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import human_size as human
 from tessera.functions.scalars import percent_saved
 from tessera.operators.reports import against_deflate, last_runs, with_previous, without_file
-from tessera.operators.selection import CANDIDATES, block_tournament, candidates, chunked_size, decode, deflated, encode, in_chunks, inflated, winners
+from tessera.operators.selection import CANDIDATES, block_tournament, candidates, chunked_size, decode, deflated, encode, in_chunks, inflated, packed_size, winners
 from tessera.sources.tables import table
 
 CHUNK_BYTES, BLOCK_SIZES = 4096, [8192, 16384]
@@ -34,10 +34,19 @@ def candidate_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_container_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of stored chunks, as its SQL has them; ``chunk_container_packed`` has those of packed ones."""
     chunks = in_chunks(_content(spark, sf_dir), ["doc_id"], CHUNK_BYTES)
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), chunked_size(F.octet_length("content")).alias("bytes"))
 
 
+def chunk_container_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers whose chunks are packed by their best candidate; a text without chunks has an empty container."""
+    rows = _content(spark, sf_dir)
+    chunks = in_chunks(rows, ["doc_id"], CHUNK_BYTES).select("doc_id", packed_size("content").alias("packed"))
+    empty = rows.where(F.octet_length("content") == 0).select("doc_id", F.lit(None).cast("bigint").alias("packed"))
+    return chunks.unionByName(empty).groupBy("doc_id").agg(F.count("packed").alias("chunks"), chunked_size(F.col("packed")).alias("bytes"))
+
+
 def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_tournament(_content(spark, sf_dir), ["doc_id"], BLOCK_SIZES)
 
@@ -80,6 +89,7 @@ QUERIES = {
     "candidate_winner": candidate_winner,
     "candidate_roundtrip": candidate_roundtrip,
     "chunk_container_sizes": chunk_container_sizes,
+    "chunk_container_packed": chunk_container_packed,
     "block_tournament": block_sizes,
     "ratio_vs_deflate": ratio_vs_deflate,
     "deflate_roundtrip": deflate_roundtrip,

@@ -1,6 +1,7 @@
 """Operators against small Python restatements of their rules, and round trips on edge cases."""
 
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -11,8 +12,9 @@ from tessera.operators.columns import CODECS, codec_choice, column_costs
 from tessera.operators.filters import FILTERS
 from tessera.operators.lines import split_lines, variable_type, variables
 from tessera.operators.reports import with_previous
-from tessera.operators.selection import CANDIDATES, candidates, decoded, encoded, in_chunks, winners
+from tessera.operators.selection import CANDIDATES, FRAME, candidates, decoded, encoded, in_chunks, packed, winners
 from tessera.operators.templates import match_lines, mine_templates, rebuilt_lines, tagged_entries, variable_columns
+from tessera.plans import report_queries
 from tessera.sources.files import read_chunks, read_files, read_frames, whole_files, write_frames
 from tessera.streaming.micro_batches import mine_batches
 
@@ -135,6 +137,28 @@ def test_winner_is_the_smallest_valid(spark):
     assert in_chunks(rows, ["k"], 64).where("k = 0").count() == 0
 
 
+def test_packed_chunk_containers_against_an_emitter(spark, tmp_path):
+    size = report_queries.CHUNK_BYTES
+    dice = random.Random(2)
+    texts = ["", None, "A" * 512, "hola " * 3000, "".join(dice.choices("abcdé ", k=9000)), "x", "ab" * (size // 2), "é" * size]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    best = lambda b: min((len(encoded(b, c)) + (0 if c == "deflate" else FRAME), k) for k, c in enumerate(CANDIDATES))
+
+    def container(content):
+        chunks = [content[k : k + size] for k in range(0, len(content), size)]
+        out = b"NDCB1\x01" + struct.pack("<QII", len(content), size, len(chunks))
+        for chunk in chunks:
+            length, k = best(chunk)
+            payload = encoded(chunk, CANDIDATES[k])
+            assert packed(chunk) == (length, CANDIDATES[k], payload)
+            out += struct.pack("<II", len(chunk), length) + bytes(length - len(payload)) + payload
+        return len(chunks), len(out)
+
+    got = {r.doc_id: (r.chunks, r.bytes) for r in report_queries.chunk_container_packed(spark, str(tmp_path)).collect()}
+    assert got == {k: container((t or "").encode()) for k, t in enumerate(texts)}
+    assert got[0] == got[1] == (0, 22) and got[3][1] < 2000
+
+
 def test_reports(spark):
     runs = spark.createDataFrame([("f", 1, 10, 20), ("f", 2, 8, 8), ("g", 1, 5, 0)], "file string, ts int, size long, base long")
     assert sorted((r.file, r.ts, r.change, r.saved_percent, r.winner) for r in with_previous(runs).collect() if r.file == "f") == [("f", 1, None, 50.0, "ours"), ("f", 2, -2, 0.0, "tie")]
