@@ -1,27 +1,25 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets are alike, and their components.
 
-Two documents link when 100 * |A ∩ B| >= percent * |A ∪ B|. The Jaccard distance is a metric; the join works on it in
-regions around pivots:
+Two documents link when 100 * |A ∩ B| >= percent * |A ∪ B|. The Jaccard distance is a metric with most documents at
+distance 1 of each other, where it tells nothing. So the join first brings together what can be near at all, and then
+works with the metric:
 
 1. Classes. Documents with equal sets are one class, and only its representative takes part (distance 0).
-2. Regions. The pivots are single shingles, in one global order. A set is nearest to the pivots that it holds, and the
-   order breaks these ties, so its Voronoi region is that of its first shingle. A set within the radius can lack at
-   most n - ceil(n * percent / 100) of its shingles, so its first shingle, if shared, is one of the first
-   n - ceil(n * percent / 100) + 1: to these regions the set is replicated, and linked sets meet in one of them.
-   (Pivots that are whole documents do not work on text: unrelated documents are all at a distance near 1, so the
-   window of twice the radius sends every document to every region.)
-   Of the regions that have the same members one is kept.
-3. Recursion. Pivots with more than ``hot`` members, which frequent lines and phrases make, go to the end of the order
-   and the regions are built again, so a common shingle gathers no region unless documents hold little else.
-4. Windows. Inside a region, sets are compared by sketches: the parity of their distance to each cell of the shingle
-   space. By the triangle inequality the number of cells with different parities is at most |A Δ B|, which a link
-   bounds. Sizes give a window, too.
-   Members are held against leaders in the regions of their first pivots; each leader and its nearest followers are verified exactly, shingle by shingle.
-   Regions of one component are done. In the others the nearest pair of every two components is verified, which merges
-   most of them; then every pair that passes the windows and still lies between components, so no link is lost. Pairs
-   inside a component are not made.
-
-Regions of more than ``block`` members are dealt to tasks by blocks and pairs of blocks.
+2. Meeting. A set within the radius can lack at most n - ceil(n * percent / 100) of a set's shingles. In one global order
+   of shingles linked sets therefore share one of their first n - ceil(n * percent / 100) + 1, and meet at it. Shingles
+   at which more than ``hot`` documents meet, which frequent lines and phrases make, go to the end of the order and the
+   documents meet again, so a common shingle brings together only documents that hold little else. Of shingles at
+   which the same documents meet one is kept.
+3. Lower bounds. Where documents meet, only sizes and sketches are compared: the parity of a set in each cell of the
+   shingle space. Cells with different parities are at most |A Δ B|, which a link bounds, so no link is lost. What is
+   returned is a spanning forest of the pairs that pass, fewer rows than documents. Documents look around at their
+   first shingles first; afterwards only meetings of several components are held again.
+4. Regions. The components of that forest are regions: no link leaves one, and nearly all documents are in none. Each of
+   their documents is read once more, whole, and ``metric_join`` finds the links of a region exactly: document pivots,
+   Voronoi cells, triangle-inequality windows that replicate boundary documents, recursion.
+
+Meetings of more than ``block`` documents are dealt to tasks by blocks: first each block by itself, then one document of
+every component, and pairs of blocks only where components are left.
 
 Defined results: a document without words, or with a null text, has no shingles, links with nothing and is its own
 component. With fewer words than ``width`` the whole sequence is the one shingle. Rows with one doc_id are one document
@@ -40,14 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .metric_join import Parts, join_regions, whole_groups
 from .scratch import Scratch
 
-#: Least and most cells of a sketch; between them a set has five to ten cells for each shingle that a link lets it lack.
-FEWEST_CELLS, MOST_CELLS = 1 << 8, 1 << 12
-#: In the regions of its first pivots a set looks for a leader; one of them does for most families of near copies.
+#: Least cells of a sketch; a set has five to ten cells for each shingle that a link lets it lack.
+FEWEST_CELLS = 1 << 8
+#: Documents look around at their first shingles first; one of them does for most families of near copies.
 FIRST = 4
-#: Most pivots that are put last; they are sent to every task.
-MOST_HOT = 200_000
+#: Most shingles that are put last; they are sent to every task (8 MB).
+MOST_HOT = 1_000_000
 
 
 class WordHashes(dict):
@@ -85,7 +84,7 @@ def window_length(n: int, percent: int) -> int:
 
 def sketch_of(shingles: np.ndarray, percent: int) -> bytes:
     """Parity of the set's members in each cell; cells are the low bits of the shingles, so halves of a sketch fold."""
-    cells = min(max(1 << (len(shingles) * (100 - percent) // 20).bit_length(), FEWEST_CELLS), MOST_CELLS)
+    cells = max(1 << (len(shingles) * (100 - percent) // 20).bit_length(), FEWEST_CELLS)
     odd = np.bincount(shingles & (cells - 1), minlength=cells) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -126,7 +125,7 @@ SIGNATURE = "id bigint, n bigint, digest binary, sketch binary, pivots array<big
 
 
 def _signatures(texts: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
-    """Size, digest, sketch and pivots of every set; ``last`` are the pivots at the end of the order."""
+    """Size, digest, sketch and first shingles of every set; those in ``last`` (sorted) are at the end of the order."""
     shared = texts.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,47 +133,17 @@ def _signatures(texts: DataFrame, width: int, percent: int, last: np.ndarray) ->
         for batch in batches:
             rows = []
             for i, text in zip(batch["id"], batch["text"], strict=True):
-                own = shingle_set(text, width, known)
+                own = ordered = shingle_set(text, width, known)
                 if len(shared.value):
-                    late = np.isin(own, shared.value)
+                    late = shared.value[np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)] == own
                     ordered = np.concatenate([own[~late], own[late]])
-                else:
-                    ordered = own
-                pivots = ordered[: window_length(len(own), percent)] if len(own) else own
-                rows.append((i, len(own), xxhash.xxh3_128_digest(own.tobytes()), sketch_of(own, percent), pivots))
+                first = ordered[: window_length(len(own), percent)] if len(own) else own
+                rows.append((i, len(own), xxhash.xxh3_128_digest(own.tobytes()), sketch_of(own, percent), first))
             yield pd.DataFrame(rows, columns=["id", "n", "digest", "sketch", "pivots"])
 
     return texts.mapInPandas(run, SIGNATURE)
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Batches of whole groups of rows that are sorted by ``keys``, with the number of each row's group."""
-    held = None
-    for batch in batches:
-        if held is not None:
-            batch = pd.concat([held, batch], ignore_index=True)
-        same = np.ones(len(batch), bool)
-        for key in keys:
-            values = batch[key].to_numpy()
-            same &= values == values[-1]
-        whole = len(batch) - int(np.argmin(same[::-1])) if not same.all() else 0
-        held = batch.iloc[whole:]
-        if whole:
-            part = batch.iloc[:whole].reset_index(drop=True)
-            yield part, _numbers(part, keys)
-    if held is not None and len(held):
-        part = held.reset_index(drop=True)
-        yield part, _numbers(part, keys)
-
-
-def _numbers(part: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    new = np.zeros(len(part), bool)
-    for key in keys:
-        values = part[key].to_numpy()
-        new[1:] |= values[1:] != values[:-1]
-    return np.cumsum(new)
-
-
 def _near(sketches: Sketches, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets a and b may link, by their sizes and their sketches."""
     small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
@@ -186,126 +155,75 @@ def _near(sketches: Sketches, n: np.ndarray, a: np.ndarray, b: np.ndarray, perce
     return fits
 
 
-def _leaders(percent: int) -> Callable:
-    """Pairs of a leader and a follower: in each group the first row leads; what is not near it finds the next leader."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, group in _groups(batches, ["pivot", "block"]):
-            ids, n = part["id"].to_numpy(), part["n"].to_numpy()
-            sketches = Sketches(part["sketch"])
-            rest = np.arange(len(part))
-            found = []
-            while len(rest):
-                first = np.ones(len(rest), bool)
-                first[1:] = group[rest][1:] != group[rest][:-1]
-                lead = rest[np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))]
-                lead, rest = lead[~first], rest[~first]
-                near = _near(sketches, n, lead, rest, percent)
-                found.append((ids[lead[near]], ids[rest[near]]))
-                rest = rest[~near]
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-    return run
-
-
-def _nearest(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Of pairs (x, y, score, a, b) the one with the least score for each two components x, y."""
-    x, y, score, a, b = (np.concatenate([f[k] for f in found]) for k in range(5))
-    order = np.lexsort((b, a, score, y, x))
-    x, y = x[order], y[order]
-    first = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-    at = order[first]
-    return x[first], y[first], score[at], a[at], b[at]
+KEYS = ["pivot", "low", "high"]
 
 
-def _crossing(percent: int, nearest: bool) -> Callable:
-    """Near pairs of a group from different components: all, or the nearest of every two components.
+def _forest(percent: int) -> Callable:
+    """A spanning forest of the near pairs of each group, beyond the components that it comes with.
 
-    With the nearest come rows without a score: x is a pivot, and y a member of its region that is in some such pair.
-    Rows are sorted by size, so the window closes early.
+    Rows are sorted by size, so the size window closes early.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, group in _groups(batches, ["pivot", "low", "high"]):
-            ids, n, comp = part["id"].to_numpy(), part["n"].to_numpy(), part["comp"].to_numpy()
+        for part, group in whole_groups(batches, KEYS):
+            ids, n = part["id"].to_numpy(), part["n"].to_numpy()
             sketches = Sketches(part["sketch"])
+            order = np.lexsort((part["comp"].to_numpy(), group))
+            comp, of = part["comp"].to_numpy()[order], group[order]
+            label = np.empty(len(part), np.int64)
+            label[order] = np.cumsum(np.append(False, (comp[1:] != comp[:-1]) | (of[1:] != of[:-1])))
+            parts = Parts(label)
             active, lag = np.arange(len(part)), 1
-            found, held, met = [], 0, np.zeros(len(part), bool)
+            a, b = [], []
             while len(active):
                 active = active[active + lag < len(part)]
                 other = active + lag
                 open_ = (group[active] == group[other]) & (100 * n[active] >= percent * n[other])
                 active, other = active[open_], other[open_]
-                differ = comp[active] != comp[other]
-                a, b = active[differ], other[differ]
-                near = _near(sketches, n, a, b, percent)
-                a, b = a[near], b[near]
+                differ = parts.label[active] != parts.label[other]
+                x, y = active[differ], other[differ]
+                near = _near(sketches, n, x, y, percent)
+                if near.any():
+                    x, y = x[near], y[near]
+                    used = parts.join(x, y)
+                    a.append(x[used])
+                    b.append(y[used])
                 lag += 1
-                if not len(a):
-                    continue
-                if not nearest:
-                    yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
-                    continue
-                met[a] = met[b] = True
-                score = sketches.apart(a, b) / (n[a] + n[b])
-                found.append((np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b]), score, np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])))
-                held += len(a)
-                if held > 1 << 18:
-                    found = [_nearest(found)]
-                    held = len(found[0][0])
-            if found:
-                x, y, score, a, b = _nearest(found)
-                yield pd.DataFrame({"x": x, "y": y, "score": score, "a": a, "b": b})
-                yield pd.DataFrame({"x": part["pivot"].to_numpy()[met], "y": ids[met], "score": None, "a": 0, "b": 0}).astype({"score": "float64"})
+            if a:
+                yield pd.DataFrame({"a": ids[np.concatenate(a)], "b": ids[np.concatenate(b)]}).drop_duplicates()
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that link, by their whole shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``id, n, own``: the whole shingle set of every text."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "own": [shingle_set(t, width, known).tobytes() for t in batch["text"]]})
-
-    found = scratch.save(texts.join(ids, "id", "left_semi").mapInPandas(sets, "id bigint, own binary"), f"sets_{name}")
-
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+            own = [shingle_set(t, width, known) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in own], "own": [s.tobytes() for s in own]})
 
-    own = pairs.join(found.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
-    own = own.join(found.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
-    links = scratch.save(own.where(linked("own_a", "own_b")).select("a", "b"), f"links_{name}")
-    scratch.drop(f"sets_{name}")
-    return links
+    return texts.mapInPandas(run, "id bigint, n bigint, own binary")
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot: int = 2000, block: int = 4096, scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot: int = 2000, block: int = 4096, most: int = 1 << 21, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
-    classes, _, labels, _ = _joined(docs, width, percent, hot, block, scratch, all_links=False)
+    scratch = scratch or Scratch(docs.sparkSession)
+    classes, links = _joined(docs, width, percent, hot, block, most, scratch, every=False)
+    labels = connected_components(links, scratch, "all")
     comps = classes.join(labels, classes["rep"] == labels["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
     least = comps.where("component_id is not null").groupBy("component_id").agg(F.min("doc_id").alias("least"))
     return comps.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
 
 
-def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, hot: int = 2000, block: int = 4096, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """All links ``a, b`` between representatives of classes, and the classes ``doc_id, n, rep``."""
-    classes, links, _, more = _joined(docs, width, percent, hot, block, scratch, all_links=True)
-    return more, classes
+def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, hot: int = 2000, block: int = 4096, most: int = 1 << 21, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """All links ``a < b`` between representatives of classes, and the classes ``doc_id, n, rep``."""
+    classes, links = _joined(docs, width, percent, hot, block, most, scratch or Scratch(docs.sparkSession), every=True)
+    return links.distinct(), classes
 
 
-def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scratch: Scratch | None, all_links: bool):
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, most: int, scratch: Scratch, every: bool) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     signed = scratch.save(_signatures(texts, width, percent, np.empty(0, np.int64)), "signed")
 
@@ -314,18 +232,17 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
     classes = scratch.save(signed.select(F.col("id").alias("doc_id"), "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(firsts, "digest", "left").select("doc_id", "n", "rep"), "classes")
     reps = classes.where("doc_id = rep").select(F.col("rep").alias("id")).distinct()
 
-    # 2. and 3. Regions, built again with the pivots of too large ones at the end of the order.
-    def regions(signed: DataFrame, name: str) -> DataFrame:
+    # 2. Meeting places, taken again with those of too many documents at the end of the order.
+    def meetings(signed: DataFrame, name: str) -> DataFrame:
         sent = signed.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", F.posexplode("pivots").alias("at", "pivot"))
-        sent = sent.select("id", "pivot", (F.col("at") < FIRST).alias("first"))
-        return scratch.save(sent, f"sent{name}")
+        return scratch.save(sent.select("id", "pivot", (F.col("at") < FIRST).alias("first")), f"sent{name}")
 
     def sized(sent: DataFrame, name: str) -> DataFrame:
-        """Regions of two members or more. ``x`` and ``y`` tell which: ids are distinct, so their hashes' parities do."""
+        """Those of two documents or more. ``x`` and ``y`` tell which: ids are distinct, so their hashes' parities do."""
         members = sent.groupBy("pivot").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
         return scratch.save(members.where("count > 1"), f"sizes{name}")
 
-    sent = regions(signed, "0")
+    sent = meetings(signed, "0")
     sizes = sized(sent, "0")
     limit = max(hot, -(-sent.count() // MOST_HOT))
     late = sizes.where(F.col("count") > limit).select("pivot").toPandas()["pivot"].to_numpy(np.int64)
@@ -333,60 +250,45 @@ def _joined(docs: DataFrame, width: int, percent: int, hot: int, block: int, scr
         signed = scratch.save(_signatures(texts, width, percent, np.sort(late)), "signed1")
         scratch.drop("sent0")
         scratch.drop("signed")
-        sent = regions(signed, "1")
+        sent = meetings(signed, "1")
         sizes = sized(sent, "1")
-    # Near copies share most of their pivots: of the regions with the same members one does.
+    # Near copies share most of their shingles: of the meetings of the same documents one does.
     sizes = scratch.save(sizes.groupBy("count", "x", "y").agg(F.min("pivot").alias("pivot")).select("pivot", "count"), "chosen")
-    shared = scratch.save(sent.join(sizes, "pivot").select("pivot", "count", "id", "first"), "shared")
+    blocks = F.ceil(F.col("count") / block).cast("bigint")
+    shared = sent.join(sizes, "pivot").select("pivot", blocks.alias("blocks"), "id", "first", F.pmod(F.xxhash64("id"), blocks).alias("block"))
+    shared = scratch.save(shared, "shared")
     scratch.drop("sent1" if len(late) else "sent0")
     about = signed.select("id", "n", "sketch").dropDuplicates(["id"])
 
-    # 4. Leaders and their followers.
-    blocks = F.ceil(F.col("count") / block).cast("int")
-    members = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
-    no_labels = spark.createDataFrame([], "id bigint, comp bigint")
-
-    def led(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(about, "id").repartition("pivot", "block").sortWithinPartitions("pivot", "block", "n", "id")
-        pairs = rows.select("pivot", "block", "id", "n", "sketch").mapInPandas(_leaders(percent), "a bigint, b bigint")
-        return scratch.save(pairs.groupBy("b").agg(F.min("a").alias("a")), f"pairs_{name}")
-
-    labels, links = no_labels, None
-    if not all_links:
-        links = _verified(led(members.where("first"), "led"), texts, width, percent, scratch, "led")
-        labels = connected_components(links, scratch, "led")
-        if sizes.where(F.col("count") > block).limit(1).count():
-            # one member of each component and block leads on, so that components in several blocks meet
-            named = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            heads = named.groupBy("pivot", "comp").agg(F.min("id").alias("id")).withColumn("block", F.lit(0))
-            heads = heads.join(heads.groupBy("pivot").count().where(f"count > 1 and count <= {block}").select("pivot"), "pivot")
-            links = links.unionByName(_verified(led(heads.drop("comp"), "heads"), texts, width, percent, scratch, "heads"))
-            labels = connected_components(links, scratch, "heads")
-
-    # Near pairs from different components, in the regions that still have several.
-    def crossing(name: str, members: DataFrame, nearest: bool) -> DataFrame:
-        named = scratch.save(members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), f"named_{name}")
-        mixed = named.groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("pivot")
-        rows = named.join(mixed, "pivot").join(about, "id")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        rows = rows.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high", "n", "id")
-        fields = "x bigint, y bigint, score double, a bigint, b bigint" if nearest else "a bigint, b bigint"
-        pairs = rows.select("pivot", "low", "high", "id", "n", "sketch", "comp").mapInPandas(_crossing(percent, nearest), fields)
-        if nearest:
-            pairs = scratch.save(pairs, "met")
-            pairs = pairs.where("score is not null and not isnan(score)").groupBy("x", "y").agg(F.min(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b")
-        pairs = scratch.save(pairs.distinct(), f"pairs_{name}")
-        scratch.drop(f"named_{name}")
-        return _verified(pairs, texts, width, percent, scratch, name) if pairs.limit(1).count() else pairs
-
-    if not all_links:
-        links = links.unionByName(crossing("near", members, True))
-        labels = connected_components(links, scratch, "near")
-        # pairs that are left are of members that were in near pairs of the same region before
-        met = spark.read.parquet(f"{scratch.base}/met").where("score is null or isnan(score)")
-        members = members.join(met.select(F.col("x").alias("pivot"), F.col("y").alias("id")), ["pivot", "id"], "left_semi")
-    more = crossing("all", members, False)
-    if all_links:
-        return classes, None, labels, more
-    return classes, links, connected_components(links.unionByName(more), scratch, "all"), more
+    # 3. Near pairs, by lower bounds.
+    def forest(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select(*KEYS, "id", "comp").join(about, "id").repartition(*KEYS).sortWithinPartitions(*KEYS, "n", "id")
+        return scratch.save(rows.select(*KEYS, "id", "n", "sketch", "comp").mapInPandas(_forest(percent), "a bigint, b bigint"), f"near_{name}")
+
+    def named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows at meeting places of several components."""
+        several = rows.groupBy("pivot").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("pivot")
+        return rows.join(several, "pivot", "left_semi")
+
+    alone = shared.where("first").select("pivot", F.col("block").alias("low"), F.col("block").alias("high"), "id", F.col("id").alias("comp"))
+    near = forest(alone, "first")
+    labels = connected_components(near, scratch, "first")
+    if sizes.where(F.col("count") > block).limit(1).count():
+        heads = named(shared.where("blocks > 1"), labels).groupBy("pivot", "comp").agg(F.min("id").alias("id"))
+        few = heads.groupBy("pivot").count().where((F.col("count") > 1) & (F.col("count") <= block)).select("pivot")
+        zero = F.lit(0).cast("bigint")
+        near = near.unionByName(forest(heads.join(few, "pivot", "left_semi").select("pivot", zero.alias("low"), zero.alias("high"), "id", "comp"), "heads"))
+        labels = connected_components(near, scratch, "heads")
+    rows = mixed(scratch.save(named(shared, labels), "named"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    near = near.unionByName(forest(rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}), "all"))
+    for name in ("named", "shared", "signed1" if len(late) else "signed"):
+        scratch.drop(name)
+
+    # 4. Regions, joined exactly.
+    regions = connected_components(near, scratch, "near").withColumnRenamed("comp", "region")
+    rows = _sets(texts.join(regions.select("id"), "id", "left_semi"), width).dropDuplicates(["id"]).join(regions, "id")
+    return classes, join_regions(scratch.save(rows.select("region", "id", "n", "own"), "regions"), percent, scratch, every, most)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .jaccard_join import _groups
+from .metric_join import whole_groups
 from .scratch import Scratch
 from .text import utf8
 
@@ -218,7 +218,7 @@ def _settled(candidates: DataFrame, texts: DataFrame, length: int, group_most: i
     hashed = scratch.save(hashed, "hashed")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, group in _groups(batches, ["key"]):
+        for part, group in whole_groups(batches, ["key"]):
             sizes = part["strings"].map(len).to_numpy()
             row = np.repeat(np.arange(len(part)), sizes)
             # rows come by document and start, so of equal strings the one that comes first is the earliest
