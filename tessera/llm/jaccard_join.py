@@ -207,7 +207,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(run, "id bigint, n bigint, own binary")
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot: int = 2000, block: int = 4096, most: int = 1 << 21, scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot: int = 256, block: int = 4096, most: int = 1 << 21, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
     scratch = scratch or Scratch(docs.sparkSession)
     classes, links = _joined(docs, width, percent, hot, block, most, scratch, every=False)
@@ -217,7 +217,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, hot:
     return comps.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
 
 
-def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, hot: int = 2000, block: int = 4096, most: int = 1 << 21, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, hot: int = 256, block: int = 4096, most: int = 1 << 21, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """All links ``a < b`` between representatives of classes, and the classes ``doc_id, n, rep``."""
     classes, links = _joined(docs, width, percent, hot, block, most, scratch or Scratch(docs.sparkSession), every=True)
     return links.distinct(), classes
