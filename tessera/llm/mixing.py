@@ -16,8 +16,10 @@ class, not per document. The running sum of step 4 never sorts a source: it goes
 and orders only the documents of the one bin in which the target is crossed.
 
 Defined results: null or empty texts have size 0 and are never taken. Null sources are one source, last in order.
-Ties in rank fall to the smaller doc_id. Repeated rows of a document are ranked alike and may be cut between them.
-An empty table gives an empty table. Extra columns are not read. All sums are exact integers, so reruns agree.
+Ties in rank fall to the smaller doc_id. Repeated rows of a document are ranked alike, one after the other, and the mix
+may take some of them and leave the others. A row without doc_id is hashed by its text. An empty table gives an empty
+table. Extra columns are not read, but ``row`` names one that is handed through. All sums are exact integers, so reruns
+agree.
 """
 
 from __future__ import annotations
@@ -54,10 +56,16 @@ def water_fill(rows: DataFrame, group: list[str], total: str, weight: str, cap:
     return rows.withColumn("level", found).drop("_level", "_fits")
 
 
-def mix(docs: DataFrame, seed: int = 7, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), scratch: Scratch | None = None) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, copies`` for every row of ``docs(doc_id, text, source)``."""
+def mix(docs: DataFrame, seed: int = 7, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), scratch: Scratch | None = None, row: str | None = None) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, copies`` for every row of ``docs(doc_id, text, source)``.
+
+    With ``row``, the name of a column that tells all rows apart, the result has it as ``row``.
+    """
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    share = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), name)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), share.alias("u"), number.alias("row")), "sizes")
     rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).withColumn("class", F.length(F.bin("size")))
 
     classes = scratch.save(rows.groupBy("src", "class").agg(F.sum("size").alias("class_size")), "classes")
@@ -78,10 +86,8 @@ def mix(docs: DataFrame, seed: int = 7, most: int = 3, weights: tuple[int, ...]
     plan = scratch.save(inner.select("src", "class", "whole", "odds_of", needed.alias("needed")), "plan")
     sources = scratch.save(sources.select("src", "source_size", "target"), "targets")
 
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     ranked = (
         rows.join(plan, ["src", "class"], "left")
-        .withColumn("u", u)
         .withColumn("rank", F.when(F.col("odds_of") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("odds_of") / (1 - F.col("odds_of")))))
         .withColumn("share", F.col("rank") / (1 + F.col("rank")))
         .withColumn("bin", F.least(F.floor(F.col("share") * BINS), F.lit(BINS - 1)))
@@ -100,16 +106,16 @@ def mix(docs: DataFrame, seed: int = 7, most: int = 3, weights: tuple[int, ...]
     counts = within.groupBy("src", "needed", "before_bin", "fine").agg(F.sum("size").alias("words"))
     fine = scratch.save(coarse.join(crossed(counts, "fine", F.col("before_bin")), "src", "left"), "fine")
     edge = ranked.where("rank is not null").join(fine, "src").where("bin = at_bin and fine = at_fine")
-    line = Window.partitionBy("src").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("src").orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.sum("size").over(line) + F.col("before_fine")).withColumn("prior", F.col("upto") - F.col("size"))
     nearer = (F.col("upto") <= F.col("needed")) | ((F.col("prior") < F.col("needed")) & (F.col("upto") - F.col("needed") <= F.col("needed") - F.col("prior")))
-    last = scratch.save(edge.where(nearer).groupBy("src").agg(F.max(F.struct("rank", "doc_id")).alias("last")), "last")
+    last = scratch.save(edge.where(nearer).groupBy("src").agg(F.max(F.struct("rank", "doc_id", "row")).alias("last")), "last")
 
     chosen = ranked.join(fine, "src", "left").join(last, "src", "left").join(sources, "src")
     first_bins = (F.col("bin") < F.col("at_bin")) | ((F.col("bin") == F.col("at_bin")) & (F.col("fine") < F.col("at_fine")))
-    up_to_last = (F.col("bin") == F.col("at_bin")) & (F.col("fine") == F.col("at_fine")) & F.coalesce(F.struct("rank", "doc_id") <= F.col("last"), F.lit(False))
+    up_to_last = (F.col("bin") == F.col("at_bin")) & (F.col("fine") == F.col("at_fine")) & F.coalesce(F.struct("rank", "doc_id", "row") <= F.col("last"), F.lit(False))
     # without a crossing the source's words never reach what is missing, and every candidate is taken
     drawn = F.col("rank").isNotNull() & (F.col("at_bin").isNull() | first_bins | up_to_last)
     copies = (F.coalesce(F.col("whole"), F.lit(0)) + F.when(drawn, 1).otherwise(0)).cast("bigint")
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("bigint")
-    return chosen.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return chosen.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *(["row"] if row else []))

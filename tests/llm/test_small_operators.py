@@ -5,12 +5,13 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.piece_bpe import decode_documents, encode_documents
 from tessera.llm.quality_rules import quality_rules, text_counts
-from tessera.llm.queries import URL_RULES
+from tessera.llm.queries import ORACLE, QUERIES, URL_RULES
 from tessera.llm.url_filter import filter_urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, kept string"
@@ -75,6 +76,38 @@ def test_mixing_meets_targets_and_reruns_agree(spark):
     assert mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mixing_of_repeated_rows_and_long_texts(spark):
+    """Targets are met when a source has one document many times, ties, texts without words and very long ones."""
+    dice = random.Random(3)
+    docs = [(7, "one two three four five six seven eight nine ten", "en", "a", "") for _ in range(60)]
+    docs += [(None, "no name " * 5, "en", "a", "")] * 3 + [(None, "other " * 9, None, "c", "")]
+    docs += [(100 + k, "w " * dice.randrange(0, 50), "en", "b", "") for k in range(80)] + [(300, "long " * 40_000, "en", "d", ""), (301, None, "en", "d", "")]
+    df = spark.createDataFrame(docs, DOCS)
+    first, again = (sorted((r.doc_id or 0, r.size, r.source, r.taken, r.target) for r in mix(d).collect()) for d in (df, df.repartition(5)))
+    assert first == again and len(first) == len(docs)
+    by = defaultdict(list)
+    for r in first:
+        assert r[3] <= 3 * r[1]
+        by[r[2]].append(r)
+    for rs in by.values():
+        assert abs(sum(r[3] for r in rs) - rs[0][4]) <= max(r[1] for r in rs)
+    numbered = df.withColumn("n", F.monotonically_increasing_id())
+    assert mix(numbered, row="n").select("row").distinct().count() == len(docs)
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_mixing_like_its_sql(spark, tmp_path, repeats):
+    duckdb = pytest.importorskip("duckdb")
+    docs = [d for d in sample() if d[0] is not None] + ([(7, "one two three four", "en", "a", "")] * 40 + [(8, "five six", "en", None, "")] * 9 if repeats else [])
+    docs = [d for d in docs if not repeats or d[0] not in (7, 8) or d[1] in ("one two three four", "five six")]
+    spark.createDataFrame(docs, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    expected = sorted(con.execute(f"select doc_id, size, source_size, round(target, 6), taken from ({ORACLE['op9_mixing']})").fetchall())
+    found = QUERIES["op9_mixing"](spark, str(tmp_path)).withColumn("target", F.round("target", 6)).collect()
+    assert sorted(map(tuple, found)) == expected
+
+
 def test_encoding_is_lossless_and_exact_without_dropout(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     tokenizers = pytest.importorskip("public_tokenizers")
