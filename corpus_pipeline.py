@@ -10,7 +10,10 @@ stage's docs. All but the last return the columns of ``documents``.
 5. encode: pieces of each text with merge dropout, and whether they decode to it.
 
 SQL expresses neither the robust estimates, nor rolling hashes, nor the encoder, so there is no ORACLE_SQL; the tests
-hold the stages against brute force.
+hold the pipeline against a brute-force version.
+
+Rows without doc_id are judged, mixed and encoded like others; line and near-duplicate removal leave them alone. Repeated
+rows of a document are one document to the near duplicates, and rows of their own to the other stages.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.jaccard_join import jaccard_components
-from tessera.llm.line_dedup import line_dedup
+from tessera.llm.line_dedup import added_columns, line_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.piece_bpe import decode_documents, encode_documents
 from tessera.llm.quality_rules import quality_rules
@@ -38,14 +41,26 @@ def _scratch(spark: SparkSession) -> Scratch:
     return _before[0]
 
 
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, under a name of its own; rows may repeat, or lack a doc_id."""
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return scratch.save(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rejected = quality_rules(docs, scratch=_scratch(spark)).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    scratch = _scratch(spark)
+    rows, number = _numbered(docs, scratch)
+    judged = quality_rules(rows.select(F.col(number).alias("doc_id"), "text", "lang", "source"), scratch=scratch)
+    rejected = judged.where("not kept").select(F.col("doc_id").alias(number))
+    return rows.join(rejected, number, "left_anti").select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = line_dedup(docs, scratch=_scratch(spark), passages=True)
-    emptied = (F.col("_gone_lines") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    gone = added_columns(docs)[1]
+    emptied = (F.col(gone) > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return kept.where(~emptied).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
@@ -56,9 +71,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mix(docs, scratch=_scratch(spark)).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
-    return taken.select(docs.columns)
+    scratch = _scratch(spark)
+    rows, number = _numbered(docs, scratch)
+    copies = mix(rows, scratch=scratch, row=number).where("copies > 0").select(F.col("row").alias(number), F.sequence(F.lit(1).cast("bigint"), "copies").alias(f"{number}_times"))
+    return rows.join(copies, number).select(*docs.columns, F.explode(f"{number}_times")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

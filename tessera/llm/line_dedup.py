@@ -20,7 +20,8 @@ chunks are compared, at most ``group_slice`` members beside one copy of the firs
 Defined results: a null text stays null, an empty one empty. A text without repeated chunks is returned as it is, bytes
 and all. Chunks and runs repeated inside one document go too; runs are judged on the input, and may overlap.
 ``_gone_chunks`` counts chunks, not windows. Rows of one doc_id are one document, and must have one text. Rows
-without doc_id are left alone. An empty table gives an empty table. Extra columns are returned unchanged.
+without doc_id are left alone. An empty table gives an empty table. Extra columns are returned unchanged, whatever
+their names: the added columns take as many leading underscores as they need to be new (``added_columns``).
 """
 
 from __future__ import annotations
@@ -163,15 +164,29 @@ def _members(docs: DataFrame, scratch: Scratch, divisor: int, least_words: int,
     return later.unionByName(firsts)
 
 
+def added_columns(docs: DataFrame) -> tuple[str, str, str]:
+    """Names of the columns that ``line_dedup`` adds: lines, lines that are gone and chunks that are gone."""
+    taken = {c.lower() for c in docs.columns}
+    mark = "_"
+    while any(f"{mark}{c}" in taken for c in ("lines", "gone_lines", "gone_chunks")):
+        mark += "_"
+    return f"{mark}lines", f"{mark}gone_lines", f"{mark}gone_chunks"
+
+
 def line_dedup(docs: DataFrame, divisor: int = 3, least_words: int = 20, long_words: int = 50, group_slice: int = 1000, scratch: Scratch | None = None, passages: bool = False) -> DataFrame:
-    """Every row of ``docs`` with the repeated chunks, and repeated ``passages`` if asked for, taken out of ``text``, and ``_lines``, ``_gone_lines``, ``_gone_chunks``."""
+    """Every row of ``docs`` with the repeated chunks, and repeated ``passages`` if asked for, taken out of ``text``, and the ``added_columns``."""
     scratch = scratch or Scratch(docs.sparkSession)
-    members = _members(docs, scratch, divisor, least_words, long_words, passages)
+    names = added_columns(docs)
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    # other columns travel in one struct, so that their names meet none of those below
+    rest_of = F.struct(F.lit(0).alias("_"), *[quoted[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
+    rows = docs.select(F.col("doc_id").alias("user_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", rest_of.alias("others"))
+    members = _members(rows, scratch, divisor, least_words, long_words, passages)
     slices = F.ceil(F.col("n") / group_slice).cast("int")
 
     # Texts meet their marks once; a document's list of marks is no longer than its list of chunks.
-    marks = members.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("chunk", "digest", "first_line", "last_line", "first", "n")).alias("_marks"))
-    joined = scratch.save(docs.join(marks, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "joined")
+    marks = members.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "digest", "first_line", "last_line", "first", "n")).alias("marks"))
+    joined = scratch.save(rows.join(marks, "doc_id", "left"), "joined")
 
     @F.pandas_udf("array<binary>")
     def bytes_of(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
@@ -182,20 +197,18 @@ def line_dedup(docs: DataFrame, divisor: int = 3, least_words: int = 20, long_wo
         return pd.Series([cut(*x) for x in zip(texts, firsts, lasts, strict=True)], dtype=object)
 
     # Byte comparison. Digests that lie are next to never seen, so what is looked for are chunks unlike their first.
-    marked = joined.where("_marks is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "_marks", bytes_of("text", "_marks.first_line", "_marks.last_line").alias("bodies"))
-    bodies = marked.select("doc_id", F.explode(F.arrays_zip("_marks", "bodies")).alias("m")).select("doc_id", "m._marks.*", F.col("m.bodies").alias("body"))
+    marked = joined.where("marks is not null")
+    bodies = marked.select("doc_id", "marks", bytes_of("text", "marks.first_line", "marks.last_line").alias("bodies"))
+    bodies = bodies.select("doc_id", F.explode(F.arrays_zip("marks", "bodies")).alias("m")).select("doc_id", "m.marks.*", F.col("m.bodies").alias("body"))
     is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("chunk") == F.col("first.chunk"))
     firsts = bodies.where(is_first).select("digest", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("body").alias("stays"))
     later = bodies.where(~is_first).select("doc_id", "chunk", "digest", "body", F.pmod(F.xxhash64("doc_id", "chunk"), slices.cast("bigint")).cast("int").alias("slice"))
     unlike = scratch.save(later.join(firsts, ["digest", "slice"]).where("body != stays").select("doc_id", "chunk").distinct(), "unlike")
-    own = F.col("doc_id").cast("bigint")
-    cuts = F.filter("_marks", lambda m: ~((m["first"]["doc_id"] == own) & (m["first"]["chunk"] == m["chunk"])))
-    marked = joined.where("_marks is not null").withColumn("_cuts", cuts)
+    cuts = F.filter("marks", lambda m: ~((m["first"]["doc_id"] == F.col("doc_id")) & (m["first"]["chunk"] == m["chunk"])))
+    marked = marked.withColumn("cuts", cuts)
     if unlike.limit(1).count():
-        spared = unlike.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("chunk").alias("_spared"))
-        marked = marked.join(spared, own == F.col("_id"), "left").drop("_id")
-        marked = marked.withColumn("_cuts", F.filter("_cuts", lambda m: ~F.coalesce(F.array_contains("_spared", m["chunk"]), F.lit(False)))).drop("_spared")
-    marked = marked.drop("_marks")
+        marked = marked.join(unlike.groupBy("doc_id").agg(F.collect_list("chunk").alias("spared")), "doc_id", "left")
+        marked = marked.withColumn("cuts", F.filter("cuts", lambda m: ~F.coalesce(F.array_contains("spared", m["chunk"]), F.lit(False))))
 
     @F.pandas_udf("struct<text: string, lines: int, gone: int>")
     def rest(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
@@ -207,8 +220,12 @@ def line_dedup(docs: DataFrame, divisor: int = 3, least_words: int = 20, long_wo
         return pd.DataFrame(out, columns=["text", "lines", "gone"])
 
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
-    none = F.lit(0)
-    whole = lambda rows: rows.withColumns({"_lines": n_lines, "_gone_lines": none, "_gone_chunks": none})
-    cut = marked.where("size(_cuts) > 0").withColumn("_rest", rest("text", "_cuts.first_line", "_cuts.last_line"))
-    cut = cut.withColumns({"text": F.col("_rest.text"), "_lines": F.col("_rest.lines"), "_gone_lines": F.col("_rest.gone"), "_gone_chunks": F.size(F.filter("_cuts", lambda m: m["chunk"] < PASSAGE))}).drop("_rest", "_cuts")
-    return whole(joined.where("_marks is null").drop("_marks")).unionByName(whole(marked.where("size(_cuts) = 0").drop("_cuts"))).unionByName(cut)
+    zero = F.lit(0)
+    columns = ["user_id", "others", "text", "lines", "gone_lines", "gone_chunks"]
+    whole = lambda rows: rows.select("user_id", "others", "text", n_lines.alias("lines"), zero.alias("gone_lines"), zero.alias("gone_chunks"))
+    cut = marked.where("size(cuts) > 0").withColumn("rest", rest("text", "cuts.first_line", "cuts.last_line"))
+    gone_chunks = F.size(F.filter("cuts", lambda m: m["chunk"] < PASSAGE))
+    cut = cut.select("user_id", "others", F.col("rest.text").alias("text"), F.col("rest.lines").alias("lines"), F.col("rest.gone").alias("gone_lines"), gone_chunks.alias("gone_chunks"))
+    found = whole(joined.where("marks is null")).unionByName(whole(marked.where("size(cuts) = 0"))).unionByName(cut).select(*columns)
+    back = {c: F.col(f"others.c{k}") for k, c in enumerate(docs.columns)} | {"doc_id": F.col("user_id"), "text": F.col("text")}
+    return found.select(*[back[c].alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(columns[3:], names, strict=True)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
-from .line_dedup import line_dedup
+from .line_dedup import added_columns, line_dedup
 from .mixing import mix
 from .piece_bpe import decode_documents, encode_documents
 from .quality_rules import quality_rules
@@ -67,12 +67,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(_table(spark, sf_dir, "documents"), passages=True)
-    return kept.select(
+    docs = _table(spark, sf_dir, "documents")
+    lines, gone_lines, gone_chunks = added_columns(docs)
+    return line_dedup(docs, passages=True).select(
         "doc_id",
-        F.col("_lines").cast("bigint").alias("n_lines"),
-        F.col("_gone_lines").cast("bigint").alias("n_removed_lines"),
-        F.col("_gone_chunks").cast("bigint").alias("n_removed_chunks"),
+        F.col(lines).cast("bigint").alias("n_lines"),
+        F.col(gone_lines).cast("bigint").alias("n_removed_lines"),
+        F.col(gone_chunks).cast("bigint").alias("n_removed_chunks"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 

@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.llm.line_dedup import PASSAGE, chunks_of, line_dedup, needed
+from tessera.llm.line_dedup import PASSAGE, added_columns, chunks_of, line_dedup, needed
 
 
 def test_repeated_chunks_go(spark):
@@ -79,3 +79,40 @@ def test_needed_windows_cover_the_same_lines():
         keep = needed(marks)
         covered = lambda some: {x for _, a, b in some for x in range(a, b + 1)}
         assert covered(m for m, k in zip(marks, keep, strict=True) if k) == covered(marks)
+
+
+def test_chunks_end_where_the_rolling_hash_says():
+    """Edges restated a line at a time: a window of three lines' hashes, divisible by the divisor; long lines stand alone."""
+    import xxhash
+
+    dice = random.Random(8)
+    odd = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+    for _ in range(60):
+        lines = [" ".join(f"w{dice.randrange(9)}" for _ in range(dice.choice([0, 1, 4, 9, 60]))) for _ in range(dice.randrange(1, 40))]
+        chunks, start = [], 0
+        for k, line in enumerate(lines):
+            rolled = sum(xxhash.xxh64_intdigest(lines[k - j].encode()) * odd[j] for j in range(min(3, k + 1))) % (1 << 64)
+            long = len(line.split()) >= 50
+            following = k + 1 < len(lines) and len(lines[k + 1].split()) >= 50
+            if (rolled >> 11) % 3 == 0 or long or following or k == len(lines) - 1:
+                total = sum(len(x.split()) for x in lines[start : k + 1])
+                if total >= (50 if start == k else 20):
+                    chunks.append((start, k))
+                start = k + 1
+        assert [(a, b) for _, _, a, b in chunks_of("\n".join(lines), 3, 20, 50)] == chunks
+
+
+def test_edges_of_line_dedup(spark):
+    """Clashing names, null and repeated rows, very long texts, an empty table."""
+    schema = "doc_id int, text string, _id int, _marks string, _cuts int, _lines string, __gone_lines int, digest string, first string, n int, `a.b` string, others int"
+    body = "\n".join(f"line {k} of a passage with quite some words in it" for k in range(12))
+    far = "\n".join(f"own line {k}" for k in range(30_000))
+    texts = [(1, body), (2, "head\n" + body), (2, "head\n" + body), (3, None), (4, ""), (None, body), (5, far), (6, far + "\nlast line")]
+    df = spark.createDataFrame([(d, t, 7, "m", 8, "l", 9, "d", "f", 10, "ab", 11) for d, t in texts], schema)
+    assert added_columns(df) == ("___lines", "___gone_lines", "___gone_chunks")
+    found = line_dedup(df, passages=True)
+    assert found.columns == [*df.columns, "___lines", "___gone_lines", "___gone_chunks"] and found.schema["doc_id"].dataType.simpleString() == "int"
+    rows = sorted((r.doc_id or 0, r.text or "") for r in found.collect())
+    assert rows == sorted([(0, body), (1, body), (2, "head"), (2, "head"), (3, ""), (4, ""), (5, far), (6, "last line")])
+    assert all(tuple(r)[2:12] == (7, "m", 8, "l", 9, "d", "f", 10, "ab", 11) for r in found.collect())
+    assert line_dedup(spark.createDataFrame([], schema), passages=True).count() == 0
