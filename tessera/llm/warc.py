@@ -1,18 +1,19 @@
 """WARC derivatives: a metadata and a plain-text conversion record for every response record.
 
 ``response_records`` wraps pages as WARC/1.1 responses. ``derive`` parses responses and builds, for each, one ``metadata``
-record (the source's headers, HTTP status and headers, digests, lengths, title and links counted) and one ``conversion``
-record (the page's text). Both point to the response by ``WARC-Refers-To``, keep its target URI and date, and carry a
+record (all of the source's headers and HTTP headers in their order, repeated ones too, folded lines joined; HTTP status,
+digests, lengths, title and links counted) and one ``conversion`` record (the page's text). Both point to the response by ``WARC-Refers-To``, keep its target URI and date, and carry a
 SHA-1 block digest of their own; the metadata record repeats the response's payload digest, and whether the payload
 still has it. ``write_derivatives`` writes them as WARC files and ``read_records`` reads such files again.
 
 Records are independent, so everything is one pass without a shuffle; record ids are name-based UUIDs of what they are
-made from, so a task that runs again writes the same records.
+made from, payload included, so a task that runs again writes the same records and different pages have different ids.
 
 Defined results: a null html is an empty payload; a null url leaves out ``WARC-Target-URI``. A record that is no response
 has no derivatives. A payload with a bad Content-Encoding is taken as it is, and its metadata says ``truncated-or-raw``.
 Bytes that are no text in the declared charset become replacement characters in the conversion only. Repeated rows give
-repeated records. An empty table gives none. Extra columns are not read.
+repeated records (with equal ids). An empty table gives none. Extra columns are not read. ``read_records`` takes files of
+up to 2 GB as they are stored; what they unpack to may be of any size, one record at a time in memory.
 """
 
 from __future__ import annotations
@@ -62,35 +63,47 @@ def build(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + CRLF + block
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers, by lower-case name, and block of one record."""
+Fields = list[tuple[str, str]]
+
+
+def parse(record: bytes) -> tuple[Fields, bytes]:
+    """Headers, by lower-case name and in their order, and block of one record."""
     head, gap, rest = record.partition(CRLF + CRLF)
     first, _, fields = head.partition(CRLF)
     if not first.startswith(b"WARC/") or not gap:
         raise ValueError("not a WARC record")
     headers = parse_fields(fields)
-    return headers, rest[: int(headers["content-length"])]
+    return headers, rest[: int(value_of(headers, "content-length", "0"))]
 
 
-def parse_fields(fields: bytes) -> dict[str, str]:
-    out: dict[str, str] = {}
+def parse_fields(fields: bytes) -> Fields:
+    """Names and values of all header lines; a line that starts with a blank goes on with the value before it."""
+    out: Fields = []
     for line in fields.decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
-        if colon:
-            out[name.strip().lower()] = value.strip()
+        if line[:1] in (" ", "\t"):
+            if out:
+                out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif colon:
+            out.append((name.strip().lower(), value.strip()))
     return out
 
 
-def payload_of(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def value_of(fields: Fields, name: str, default: str | None = None) -> str | None:
+    """The first value of a header."""
+    return next((v for k, v in fields if k == name), default)
+
+
+def payload_of(block: bytes) -> tuple[str, Fields, bytes]:
     """Status line, headers and body of an HTTP response."""
     head, _, body = block.partition(CRLF + CRLF)
     status, _, fields = head.partition(CRLF)
     return status.decode("latin-1"), parse_fields(fields), body
 
 
-def decoded(body: bytes, http: dict[str, str]) -> tuple[str, bool]:
+def decoded(body: bytes, http: Fields) -> tuple[str, bool]:
     """The body as text, and whether its content encoding could be undone."""
-    coding, good = http.get("content-encoding", "identity").lower(), True
+    coding, good = value_of(http, "content-encoding", "identity").lower(), True
     try:
         if coding in ("gzip", "x-gzip"):
             body = gzip.decompress(body)
@@ -100,7 +113,7 @@ def decoded(body: bytes, http: dict[str, str]) -> tuple[str, bool]:
             good = False
     except (OSError, EOFError, zlib.error):
         good = False
-    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", http.get("content-type", ""))
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", value_of(http, "content-type", ""))
     try:
         charset = codecs.lookup(named[1]).name if named else "utf-8"
         return body.decode(charset, "replace"), good
@@ -126,7 +139,7 @@ def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
                 body = (body or "").encode("utf-8", "surrogatepass")
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
                 target = [("WARC-Target-URI", url)] if url else []
-                headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page, url)), ("WARC-Date", date), *target]
+                headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", page, url, sha1(body))), ("WARC-Date", date), *target]
                 headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", sha1(body)), ("WARC-Block-Digest", sha1(block))]
                 records.append(build(headers, block))
             yield pd.DataFrame({"page_id": batch["page_id"], "record": records})
@@ -137,16 +150,16 @@ def response_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Da
 def derivatives(page: int | None, record: bytes) -> list[tuple]:
     """Rows of DERIVED for one record: its metadata and its conversion."""
     headers, block = parse(record)
-    if headers.get("warc-type") != "response":
+    if value_of(headers, "warc-type") != "response":
         return []
     status, http, body = payload_of(block)
-    source, target, date = headers.get("warc-record-id", ""), headers.get("warc-target-uri"), headers.get("warc-date", "")
-    digest = headers.get("warc-payload-digest", "")
+    source, target, date = value_of(headers, "warc-record-id", ""), value_of(headers, "warc-target-uri"), value_of(headers, "warc-date", "")
+    digest = value_of(headers, "warc-payload-digest", "")
     markup, good = decoded(body, http)
     text = plain_text(markup).encode("utf-8", "surrogatepass")
     title = TITLE.search(markup)
-    fields = [(f"source-{k}", v) for k, v in headers.items() if k != "content-length"]
-    fields += [("http-status", status), *((f"http-{k}", v) for k, v in http.items())]
+    fields = [(f"source-{k}", v) for k, v in headers if k != "content-length"]
+    fields += [("http-status", status), *((f"http-{k}", v) for k, v in http)]
     fields += [("payload-digest-computed", sha1(body)), ("payload-digest-agrees", str(sha1(body) == digest).lower())]
     fields += [("payload-length", str(len(body))), ("content-state", "decoded" if good else "truncated-or-raw")]
     fields += [("title", html_entities.unescape(title[1]) if title else ""), ("links", str(len(LINK.findall(markup))))]
@@ -180,23 +193,64 @@ def write_derivatives(records: DataFrame, path: str) -> None:
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def split_records(stream: bytes) -> Iterator[bytes]:
+#: Bytes that are unpacked at once, and bytes of records in a batch.
+PIECE, BATCH = 1 << 20, 1 << 24
+
+
+def unpacked(stored: bytes) -> Iterator[bytes]:
+    """A file's bytes in pieces; gzip members one after the other."""
+    if stored[:2] != b"\x1f\x8b":
+        for at in range(0, len(stored), PIECE):
+            yield stored[at : at + PIECE]
+        return
+    at, unzip = 0, zlib.decompressobj(31)
+    while at < len(stored):
+        piece = stored[at : at + PIECE]
+        at += len(piece)
+        while piece:
+            out = unzip.decompress(piece, PIECE)
+            if out:
+                yield out
+            if unzip.eof:
+                piece, unzip = unzip.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+            else:
+                piece = unzip.unconsumed_tail
+                if not piece and len(out) == PIECE:  # what is still inside
+                    while out := unzip.decompress(b"", PIECE):
+                        yield out
+
+
+def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """The records of one WARC file, by their declared lengths."""
-    at = 0
-    while at < len(stream):
-        gap = stream.index(CRLF + CRLF, at)
-        size = int(parse_fields(stream[at:gap])["content-length"])
-        yield stream[at : gap + 4 + size]
-        at = gap + 4 + size + 4
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        while True:
+            gap = held.find(CRLF + CRLF)
+            if gap < 0:
+                break
+            end = gap + 4 + int(value_of(parse_fields(bytes(held[:gap])), "content-length", "0"))
+            if len(held) < end + 4:
+                break
+            yield bytes(held[:end])
+            del held[: end + 4]
+    if held.strip():
+        raise ValueError("the file ends inside a record")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``record`` for every record of the WARC files, gzipped or not, below ``path``; a task reads a file."""
+    """``record`` for every record of the WARC files, gzipped or not, below ``path``; a task reads a file at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                data = bytes(content)
-                yield pd.DataFrame({"record": list(split_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))})
+                records, size = [], 0
+                for record in split_records(unpacked(bytes(content))):
+                    records.append(record)
+                    size += len(record)
+                    if size > BATCH:
+                        yield pd.DataFrame({"record": records})
+                        records, size = [], 0
+                yield pd.DataFrame({"record": records})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "record binary")
