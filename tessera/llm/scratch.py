@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -13,9 +15,11 @@ WHILE_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where none is set (tests on one machine), an own folder."""
+    """The cluster's ``spark.checkpoint.dir``. In local mode, where it is unset, an own folder; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,12 +29,14 @@ class Scratch:
     """Parquet tables of one operator call.
 
     A saved table survives the loss of executors and is read again instead of being computed again.
-    ``drop`` and ``clear`` remove tables; the caller does so once nothing lazy reads them any more.
+    ``drop`` and ``clear`` remove tables; the caller does so once nothing lazy reads them any more. What a result still
+    reads goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+        atexit.register(self.clear)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -60,4 +66,6 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     def clear(self) -> None:
-        self.drop()
+        atexit.unregister(self.clear)
+        if self.spark.sparkContext._jsc is not None:
+            self.drop()

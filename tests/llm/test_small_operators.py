@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import exact_dedup
@@ -117,3 +118,51 @@ def test_encoding_is_lossless_and_exact_without_dropout(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
     plain = {r.doc_id: r for r in encode_documents(df, dropout=0.0).collect()}
     assert all(list(r.pieces) == model.encode(r.text) for d, r in plain.items() if d < 300)
+
+
+def test_dropout_like_an_agenda_in_plain_python(spark):
+    """Every text's pieces with dropout: best candidate first, leftmost on ties, candidates skipped by their hash."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    tokenizers = pytest.importorskip("public_tokenizers")
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    ids = {model.id_to_piece(k): k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k) or model.is_byte(k))}
+    order = {k: rank for rank, k in enumerate(sorted(ids.values(), key=lambda k: (-model.get_score(k), k)))}
+    most = 1 << 64
+
+    def mix(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, None):
+            x ^= x >> 33
+            x = x * factor % most if factor else x
+        return x
+
+    def agenda(doc_id, text, dropout, seed=17):
+        shown = " " + text
+        salt = xxhash.xxh64_intdigest(str(doc_id), seed)
+        symbols = [(k, k + 1, None if c == "▁" else c.replace(" ", "▁")) for k, c in enumerate(shown)]  # a mark in the text is no space
+
+        def candidate(left, right):
+            (a, b, x), (_, c, y) = left, right
+            if x is None or y is None or x not in ids or y not in ids or x + y not in ids:
+                return None
+            key = (salt + a * 0x9E3779B97F4A7C15) % most ^ ((b - a) * 0xC2B2AE3D27D4EB4F + (c - b) * 0x165667B19E3779F9) % most
+            return None if mix(key) < int(dropout * 2**64) else (order[ids[x + y]], a)
+
+        while True:
+            found = [(c, k) for k in range(len(symbols) - 1) if (c := candidate(symbols[k], symbols[k + 1]))]
+            if not found:
+                break
+            _, k = min(found)
+            (a, _, x), (_, c, y) = symbols[k : k + 2]
+            symbols[k : k + 2] = [(a, c, x + y)]
+        out = []
+        for a, b, x in symbols:
+            out += [ids[x]] if x in ids else [model.piece_to_id(f"<0x{v:02X}>") for v in shown[a:b].encode()]
+        return out
+
+    texts = ["the quick brown fox", "  two  spaces ▁ mark\n\ttab \u0301", "internationalization " * 3, "a" * 130, "数据 Straße", " ", "x"]
+    rows = [(k, t, "", "", "") for k, t in enumerate(texts)] + [(0, texts[0], "", "", ""), (90, None, "", "", ""), (91, "", "", "", "")]
+    for dropout in (0.0, 0.1, 0.5):
+        found = encode_documents(spark.createDataFrame(rows, DOCS), dropout=dropout)
+        for r in decode_documents(found).collect():
+            assert list(r.pieces) == (agenda(r.doc_id, r.text, dropout) if r.text else []) and r.decoded == r.text
+    assert encode_documents(spark.createDataFrame([], DOCS)).count() == 0
