@@ -22,7 +22,7 @@ MOST_QUOTIENT, MOST_REMAINDER_BITS = 4096, 20
 def with_differences(values: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``len, x`` (null where it is no number), first and second differences ``d1, d2`` and their zigzag codes."""
     w = Window.partitionBy(*keys).orderBy("row_no")
-    x = F.when(F.col("value").rlike("^[0-9]{1,15}$"), F.col("value").try_cast("bigint"))
+    x = F.when(F.col("value").rlike(r"^[0-9]{1,15}\z"), F.col("value").try_cast("bigint"))
     rows = values.withColumns({"len": F.octet_length("value").cast("bigint"), "x": x, "pos": F.row_number().over(w).cast("bigint")})
     rows = rows.withColumn("d1", F.col("x") - F.lag("x").over(w))
     rows = rows.withColumn("d2", F.col("d1") - F.lag("d1").over(w))

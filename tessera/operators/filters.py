@@ -79,7 +79,27 @@ def undelta32(d: np.ndarray) -> np.ndarray:
     return np.concatenate([np.cumsum(d[:n].view("<u4"), dtype=np.uint32).astype("<u4").view(np.uint8), d[n:]])
 
 
-#: Filters that keep the length; those of half bytes and bits pad, and their inverses are cut to the length.
+def float_split(d: np.ndarray) -> np.ndarray:
+    """32-bit floats apart: exponents, then signs, packed, then the three mantissa bytes of each; a tail stays."""
+    n = len(d) // 4 * 4
+    bits = d[:n].view("<u4")
+    mantissa = (bits & 0x7FFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return np.concatenate([(bits >> 23 & 255).astype(np.uint8), np.packbits((bits >> 31).astype(bool)), mantissa.T.ravel(), d[n:]])
+
+
+def float_joined(d: np.ndarray) -> np.ndarray:
+    # n floats take n exponents, ceil(n / 8) bytes of signs and 3 n of mantissas; up to 3 bytes are left over
+    n = max(0, (len(d) - 3) * 8 // 33)
+    while 4 * (n + 1) + (n + 8) // 8 <= len(d):
+        n += 1
+    signs = -(-n // 8)
+    exponent, sign = d[:n].astype(np.uint32), np.unpackbits(d[n : n + signs])[:n].astype(np.uint32)
+    low = np.zeros((n, 4), np.uint8)
+    low[:, :3] = d[n + signs : 4 * n + signs].reshape(3, -1).T
+    return np.concatenate([(low.view("<u4").ravel() | exponent << 23 | sign << 31).astype("<u4").view(np.uint8), d[4 * n + signs :]])
+
+
+#: Filters that keep the length; those of half bytes and bits pad, and their inverses are cut to the length; that of floats adds its signs.
 FILTERS = {
     "delta": (delta, undelta),
     "xor": (xor, unxor),
@@ -89,6 +109,7 @@ FILTERS = {
     "nibble": (nibbles, unnibbles),
     "bitplane": (bitplanes, unbitplanes),
     "delta32": (delta32, undelta32),
+    "float32": (float_split, float_joined),
 }
 
 

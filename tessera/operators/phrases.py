@@ -11,13 +11,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions.scalars import varint_len
+from tessera.operators.byte_stats import byte_counts, looks_textual
 
 SHORTEST, LONGEST, LEAST_TIMES, MOST_PHRASES = 3, 10, 4, 254
 NO_START = frozenset(b"\xff\n\r\t ")
+#: Lexemes, for engines that do not backtrack; and without backtracking for Java, whose stack would grow with each escape.
 LEXEME = r"[0-9A-Za-z_\-./:@$]+" + "".join(rf"|{q}[^{q}\\]*(?:\\(?s:.)[^{q}\\]*)*{q}?" for q in "\"'`")
+POSSESSIVE = r"[0-9A-Za-z_\-./:@$]++" + "".join(rf"|{q}[^{q}\\]*+(?:\\(?s:.)[^{q}\\]*+)*+{q}?+" for q in "\"'`")
 
 
 def phrases(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
@@ -45,7 +49,7 @@ def phrases(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 def lexeme_pieces(text: Column) -> Column:
     """Every occurrence of a lexeme: runs from 4 bytes, cut at 128, with the first and last 32 bytes of runs from 16; quoted
     literals from 6 to 160 bytes. Runs are ASCII, so characters are bytes there."""
-    found = F.regexp_extract_all(text, F.lit(LEXEME), 0)
+    found = F.regexp_extract_all(text, F.lit(POSSESSIVE), 0)
     is_run = lambda s: s.rlike("^[^\"'`]")
     runs = F.filter(found, lambda s: is_run(s) & (F.length(s) >= 4))
     quoted = F.filter(found, lambda s: ~is_run(s) & F.octet_length(s).between(6, 160))
@@ -62,17 +66,98 @@ def lexemes(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return rows.groupBy(*keys, "lexeme").agg(F.count("*").alias("times")).withColumn("length", F.octet_length("lexeme").cast("bigint"))
 
 
-def lexeme_scores(found: DataFrame, keys: list[str], most: int = 4096) -> DataFrame:
+def lexeme_scores(found: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates that occur twice and save more than 16 bytes, ranked for each key."""
     score = F.col("times") * (F.col("length") - 2) - (F.col("length") + varint_len(F.col("length")) + 2)
     rows = found.where("times >= 2").withColumn("score", score).where("score > 16")
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("length").desc(), "lexeme")
-    return rows.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).where(F.col("rank") < most)
-
-
-def without_contained(scored: DataFrame, keys: list[str], least: int = 128, leaders: int = 64) -> DataFrame:
-    """Drops entries below ``least`` that lie inside one of the first ``leaders``; those are few, whatever the input."""
-    first = scored.where(F.col("rank") < leaders).groupBy(*keys).agg(F.collect_list(F.struct("rank", "lexeme")).alias("leaders"))
-    rows = scored.join(first, keys)
-    inside = F.exists("leaders", lambda h: (h["rank"] < F.col("rank")) & F.contains(h["lexeme"], F.col("lexeme")))
-    return rows.where((F.col("score") >= least) | ~inside).drop("leaders")
+    return rows.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint"))
+
+
+def without_contained(scored: DataFrame, keys: list[str], least: int = 128, leaders: int = 64, most: int = 4096) -> DataFrame:
+    """Drops entries below ``least`` that lie inside one of the first ``leaders`` entries kept before them; ranks the others anew.
+
+    What lies inside a dropped entry lies inside a kept one, too. So an entry is dropped when it lies inside any earlier
+    one up to that which is the last leader; the entries up to there are found with a running list of the leaders alone.
+    """
+    item = F.struct("rank", "score", "lexeme")
+    listed = scored.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("all"))
+    full = lambda kept: F.size(kept) >= leaders
+    inside = lambda kept, x: F.exists(kept, lambda h: F.contains(h, x["lexeme"]))
+    grown = lambda kept, x: F.when(full(kept) | ((x["score"] < least) & inside(kept, x)), kept).otherwise(F.concat(kept, F.array(x["lexeme"])))
+    found = listed.select(*keys, "all", F.aggregate("all", F.array().cast("array<string>"), grown).alias("leaders"))
+    rows = found.select(*keys, "leaders", F.inline("all"))
+    # a leader holds itself, so an entry is held against the leaders before it only
+    earlier = F.filter("leaders", lambda h: F.array_position("leaders", h) < F.coalesce(F.nullif(F.array_position("leaders", F.col("lexeme")), F.lit(0)), F.lit(leaders + 1)))
+    rows = rows.where((F.col("score") >= least) | ~F.exists(earlier, lambda h: F.contains(h, F.col("lexeme")))).select(*keys, "rank", "lexeme")
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy("rank")) - 1
+    rows = scored.join(rows, [*keys, "rank", "lexeme"]).withColumn("rank", again.cast("bigint"))
+    return rows.where(F.col("rank") < most)
+
+
+#: A dictionary is tried on texts of so many bytes, if they are textual or large.
+LEAST_BYTES, LARGE_BYTES = 2048, 256 * 1024
+LEAST_HITS, LEAST_SAVED, LEAST_GAIN = 8, 64, 32
+APPLIED = T.StructType().add("bytes", T.LongType()).add("hits", T.LongType()).add("saved", T.LongType()).add("valid", T.BooleanType())
+
+
+def _varint(x: int) -> bytes:
+    out = bytearray()
+    while x > 127:
+        out.append(x & 127 | 128)
+        x >>= 7
+    return bytes([*out, x])
+
+
+def replaced(content: bytes, entries: list[bytes]) -> tuple[bytes, int, int]:
+    """The content with the longest entry at every place as 255 and its number from 1, a byte 255 as 255, 0; hits, bytes saved."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for k, e in enumerate(entries):
+        automaton.add_word(e.decode("latin-1"), (len(e), _varint(k + 1)))
+    automaton.make_automaton()
+    out, at, hits, saved = [], 0, 0, 0
+    for end, (size, number) in automaton.iter_long(content.decode("latin-1")) if entries else ():
+        out += [content[at : end + 1 - size].replace(b"\xff", b"\xff\0"), b"\xff", number]
+        at, hits, saved = end + 1, hits + 1, saved + size - 1 - len(number)
+    return b"".join([*out, content[at:].replace(b"\xff", b"\xff\0")]), hits, saved
+
+
+def restored(payload: bytes, entries: list[bytes]) -> bytes:
+    first, *rest = payload.split(b"\xff")
+    out = [first]
+    for part in rest:
+        number = shift = k = 0
+        while True:
+            number |= (part[k] & 127) << shift
+            shift += 7
+            k += 1
+            if part[k - 1] < 128:
+                break
+        out += [entries[number - 1] if number else b"\xff", part[k:]]
+    return b"".join(out)
+
+
+@F.pandas_udf(APPLIED)
+def applied(content: pd.Series, entries: pd.Series) -> pd.DataFrame:
+    """Size with dictionary, header and replaced content; valid when it restores to the content."""
+
+    def one(b: bytes, words: list[bytes]) -> tuple:
+        payload, hits, saved = replaced(b, words)
+        size = 9 + len(_varint(len(words))) + sum(len(_varint(len(w))) + len(w) for w in words) + 4 + len(payload)
+        return size, hits, saved, restored(payload, words) == b
+
+    rows = [one(bytes(b), [bytes(w) for w in e]) for b, e in zip(content, entries, strict=True)]
+    return pd.DataFrame(rows, columns=["bytes", "hits", "saved", "valid"])
+
+
+def lexeme_candidate(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """``n, entries, bytes, hits, saved, valid`` of each text that a dictionary of its lexemes makes smaller."""
+    rows = docs.select(id_col, F.col(text).cast("binary").alias("content"), F.octet_length(text).cast("bigint").alias("n")).where(F.col("n") >= LEAST_BYTES)
+    rows = rows.withColumn("counts", byte_counts("content")).where(looks_textual(F.col("counts"), F.col("n")) | (F.col("n") >= LARGE_BYTES))
+    kept = without_contained(lexeme_scores(lexemes(docs, [id_col], text), [id_col]), [id_col])
+    words = F.transform(F.sort_array(F.collect_list(F.struct("rank", "lexeme"))), lambda e: e["lexeme"].cast("binary"))
+    both = rows.join(kept.groupBy(id_col).agg(words.alias("entries")), id_col)
+    found = both.select(id_col, "n", F.size("entries").cast("bigint").alias("entries"), applied("content", "entries").alias("a")).select(id_col, "n", "entries", "a.*")
+    return found.where((F.col("hits") >= LEAST_HITS) & (F.col("saved") >= LEAST_SAVED) & (F.col("bytes") < F.col("n") - LEAST_GAIN))

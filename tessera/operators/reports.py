@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.scalars import percent_saved, smaller
-from tessera.operators.selection import deflated
 
 
-def against_deflate(sizes: DataFrame, originals: DataFrame, keys: list[str]) -> DataFrame:
-    """``sizes(keys..., bytes)`` beside the original's size and that of deflate."""
-    base = originals.select(*keys, F.octet_length("content").cast("bigint").alias("original"), F.octet_length(deflated("content")).cast("bigint").alias("deflate"))
-    rows = sizes.join(base, keys)
+def against_deflate(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows(keys..., original, bytes, deflate)`` with the share saved and who is smaller."""
     return rows.select(*keys, "original", "bytes", "deflate", percent_saved(F.col("bytes"), F.col("original")).alias("saved_percent"), smaller(F.col("bytes"), F.col("deflate"), "ours", "deflate").alias("winner"))
 
 
@@ -31,3 +28,8 @@ def last_runs(runs: DataFrame, most: int = 20) -> DataFrame:
 
 def without_file(runs: DataFrame, file: str) -> DataFrame:
     return runs.where(~F.col("file").eqNullSafe(F.lit(file)))
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Adds ``runs(file, ts, size, base)`` to the history table at ``path``; ``with_previous`` and ``last_runs`` read it."""
+    runs.select("file", "ts", "size", "base").write.mode("append").parquet(path)

@@ -68,14 +68,29 @@ def inflated(content: pd.Series) -> pd.Series:
     return content.map(zlib.decompress)
 
 
+SIZED = T.ArrayType(T.StructType().add("candidate", T.StringType()).add("priority", T.IntegerType()).add("bytes", T.LongType()).add("valid", T.BooleanType()).add("error", T.StringType()))
+
+
+def _framed(payload: bytes, name: str) -> int:
+    return len(payload) + (0 if name == "deflate" else FRAME)
+
+
 def candidates(rows: DataFrame, keys: list[str], content: str = "content", names: list[str] = CANDIDATES) -> DataFrame:
-    """``candidate, priority, bytes, valid, error`` for each key of ``rows(keys..., content)`` and each name."""
-    each = rows.select(*keys, F.col(content).alias("content"), F.posexplode(F.array(*map(F.lit, names))).alias("priority", "candidate"))
-    each = each.withColumn("payload", encode("content", "candidate"))
-    each = each.withColumn("back", decode("payload", "candidate", F.octet_length("content")))
-    valid = F.coalesce(F.sha2(F.col("back.content"), 256) == F.sha2("content", 256), F.lit(False))
-    frame = F.when(F.col("candidate") == "deflate", 0).otherwise(FRAME)
-    return each.select(*keys, "candidate", "priority", (F.octet_length("payload") + frame).cast("bigint").alias("bytes"), valid.alias("valid"), F.col("back.error").alias("error"))
+    """``candidate, priority, bytes, valid, error`` for each key of ``rows(keys..., content)`` and each name; one pass over the contents."""
+
+    @F.pandas_udf(SIZED)
+    def sized(contents: pd.Series) -> pd.Series:
+        def one(whole: bytes, priority: int, name: str) -> dict:
+            payload = encoded(whole, name)
+            try:
+                valid, error = decoded(payload, name, len(whole)) == whole, None
+            except (zlib.error, ValueError) as wrong:
+                valid, error = False, str(wrong)
+            return {"candidate": name, "priority": priority, "bytes": _framed(payload, name), "valid": valid, "error": error}
+
+        return contents.map(lambda c: [one(bytes(c or b""), k, name) for k, name in enumerate(names)])
+
+    return rows.select(*keys, F.inline(sized(F.col(content))))
 
 
 def winners(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,7 +102,7 @@ def winners(found: DataFrame, keys: list[str]) -> DataFrame:
 def packed(content: bytes) -> tuple[int, str, bytes]:
     """Bytes with the frame, candidate and payload of what ``winners`` takes; only payloads that may win are decoded."""
     payloads = [encoded(content, name) for name in CANDIDATES]
-    sizes = [len(p) + (0 if name == "deflate" else FRAME) for p, name in zip(payloads, CANDIDATES, strict=True)]
+    sizes = [_framed(p, name) for p, name in zip(payloads, CANDIDATES, strict=True)]
     best = next(k for k in sorted(range(len(sizes)), key=sizes.__getitem__) if decoded(payloads[k], CANDIDATES[k], len(content)) == content)
     return sizes[best], CANDIDATES[best], payloads[best]
 
@@ -97,6 +112,13 @@ def packed_size(content: pd.Series) -> pd.Series:
     return content.map(lambda b: packed(bytes(b))[0]).astype("int64")
 
 
+@F.pandas_udf(T.StructType().add("candidate", T.StringType()).add("bytes", T.LongType()).add("deflate", T.LongType()))
+def smallest(content: pd.Series) -> pd.DataFrame:
+    """What ``winners`` takes of all candidates, and the size of the zlib baseline, in one pass."""
+    found = [(*packed(bytes(b or b""))[1::-1], len(zlib.compress(b or b"", LEVEL))) for b in content]
+    return pd.DataFrame(found, columns=["candidate", "bytes", "deflate"])
+
+
 def in_chunks(rows: DataFrame, keys: list[str], size: int, content: str = "content") -> DataFrame:
     """Content in chunks of ``size`` bytes: ``chunk_no`` from 0. Empty content has none."""
     count = F.ceil(F.octet_length(content) / size).cast("int")

@@ -52,12 +52,29 @@ def match_lines(lines: DataFrame, templates: DataFrame, by: list[str]) -> DataFr
     return with_shape(lines).join(templates.select(*keys, "template_id"), keys, "left")
 
 
+#: Lines of one file that are put in order together; longer files are numbered a range at a time.
+RANGE = 1 << 16
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("range", F.floor(F.col("line_no") / RANGE))
+
+
 def tagged_entries(matched: DataFrame, by: list[str]) -> DataFrame:
-    """``tag``: 0 raw, 1 a template other than the last one of the file, 2 the same again; raw lines don't reset it."""
-    before = Window.partitionBy(*by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last("template_id", True).over(before)
+    """``tag``: 0 raw, 1 a template other than the last one of the file, 2 the same again; raw lines don't reset it.
+
+    The template before a line is looked for in its range of lines; the last ones of earlier ranges, a row each, are carried on.
+    """
+    rows = _ranged(matched)
+    ends = rows.where("template_id is not null").groupBy(*by, "range").agg(F.max_by("template_id", "line_no").alias("end"))
+    all_ranges = rows.select(*by, "range").distinct().join(ends, [*by, "range"], "left")
+    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = all_ranges.select(*by, "range", F.last("end", True).over(earlier).alias("carried"))
+    before = Window.partitionBy(*by, "range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(carried, [*by, "range"])
+    last = F.coalesce(F.last("template_id", True).over(before), F.col("carried"))
     tag = F.when(F.col("template_id").isNull(), 0).when(F.col("template_id").eqNullSafe(last), 2).otherwise(1)
-    return matched.withColumn("tag", tag)
+    return rows.withColumn("tag", tag).drop("range", "carried")
 
 
 def dictionary_bytes(templates: DataFrame, by: list[str]) -> DataFrame:
@@ -71,7 +88,7 @@ def dictionary_bytes(templates: DataFrame, by: list[str]) -> DataFrame:
 def inline_bytes(matched: DataFrame, by: list[str]) -> DataFrame:
     """Bytes of each file's lines with variables inline: a tag, then template and values, or the raw line."""
     length = lambda c: F.octet_length(c).cast("bigint")
-    number = lambda v: v.rlike("^[0-9]{1,15}$")
+    number = lambda v: v.rlike(r"^[0-9]{1,15}\z")
     value = lambda v: F.when(number(v), 1 + varint_len(length(v)) + varint_len(v.try_cast("bigint"))).otherwise(1 + varint_len(length(v)) + length(v))
     values = F.aggregate("vars", F.lit(0).cast("bigint"), lambda n, v: n + value(v))
     line = F.when(F.col("template_id").isNull(), 1 + varint_len(length("line")) + length("line")).otherwise(1 + varint_len(F.col("template_id")) + values)
@@ -79,9 +96,16 @@ def inline_bytes(matched: DataFrame, by: list[str]) -> DataFrame:
 
 
 def variable_columns(matched: DataFrame, by: list[str]) -> DataFrame:
-    """Long form of the variables of matched lines: ``template_id, slot, row_no, value, slot_type``."""
-    row_no = (F.row_number().over(Window.partitionBy(*by, "template_id").orderBy("line_no")) - 1).cast("bigint")
-    hits = matched.where("template_id is not null").withColumn("row_no", row_no)
+    """Long form of the variables of matched lines: ``template_id, slot, row_no, value, slot_type``.
+
+    Rows are numbered inside ranges of lines, plus the rows of earlier ranges.
+    """
+    rows = _ranged(matched.where("template_id is not null"))
+    keys = [*by, "template_id"]
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "range").agg(F.count("*").alias("rows")).select(*keys, "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("line_no"))
+    hits = rows.join(counts, [*keys, "range"]).withColumn("row_no", (place - 1 + F.col("first")).cast("bigint"))
     long = hits.select(*by, "template_id", "line_no", "row_no", "types", F.posexplode("vars").alias("slot", "value"))
     return long.withColumn("slot_type", F.element_at("types", F.col("slot") + 1)).drop("types")
 

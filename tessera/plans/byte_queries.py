@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.byte_stats import byte_runs, context_counts, counted, entropy, histogram, initial_frequencies, looks_textual, stream_costs
+from tessera.operators.byte_stats import context_counts, counted, entropy, histogram, initial_frequencies, looks_textual, run_counts, stream_choice, stream_costs, table_frequencies
 from tessera.operators.filters import FILTERS, apply_filter, float_parts, undo_filter
-from tessera.operators.phrases import LEXEME, lexeme_scores, lexemes, phrases, without_contained
+from tessera.operators.phrases import LEXEME, lexeme_candidate, lexeme_scores, lexemes, phrases, without_contained
 from tessera.plans.sql import varint
 from tessera.sources.tables import table
 
@@ -34,8 +34,8 @@ def textual_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _content(spark, sf_dir).select("doc_id", F.inline(byte_runs("content")))
-    return runs.groupBy("doc_id").agg(F.count("*").alias("runs"), F.max("run").alias("longest"), F.sum(F.when(F.col("run") >= 2, 1).otherwise(0)).cast("bigint").alias("repeated"))
+    runs = _content(spark, sf_dir).where(F.octet_length("content") > 0).select("doc_id", run_counts("content").alias("r"))
+    return runs.select("doc_id", "r.runs", "r.longest", "r.repeated")
 
 
 def rans_initial_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,19 @@ def stream_cost_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_costs(_docs(spark, sf_dir), "doc_id").select("doc_id", "n", "huffman")
 
 
+def stream_choice_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_choice(stream_costs(_docs(spark, sf_dir), "doc_id"), "doc_id")
+
+
+def coder_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counted(_docs(spark, sf_dir), "doc_id").select("doc_id", F.posexplode(table_frequencies("counts")).alias("byte", "freq"))
+    return found.where("freq > 0").select("doc_id", F.col("byte").cast("bigint").alias("byte"), F.col("freq").cast("bigint").alias("freq"))
+
+
+def lexeme_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexeme_candidate(_docs(spark, sf_dir), "doc_id")
+
+
 def ngram_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(_docs(spark, sf_dir), "doc_id")
 
@@ -81,6 +94,14 @@ def _roundtrip(name: str):
     return query
 
 
+def _forward(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        filtered = apply_filter(F.col("content"), name)
+        return _content(spark, sf_dir).where(F.octet_length("content") > 0).select("doc_id", F.md5(F.hex(filtered)).alias("filtered_md5"))
+
+    return query
+
+
 def float32_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", float_parts("embedding").alias("p"))
     return parts.select("vec_id", F.col("p.signs").cast("bigint").alias("negative"), F.array_max("p.exponents").cast("bigint").alias("largest_exponent"))
@@ -95,11 +116,15 @@ QUERIES = {
     "literal_context_counts": literal_context_counts,
     "stream_cost_nohuff": stream_cost_nohuff,
     "stream_cost_huffman": stream_cost_huffman,
+    "stream_choice": stream_choice_by_name,
+    "coder_frequencies": coder_frequencies,
+    "lexeme_replacement": lexeme_replacement,
     "ngram_phrases": ngram_phrases,
     "lexeme_candidates": lexeme_candidates,
     "lexeme_scores": lexeme_dictionary,
     "lexeme_scores_pruned": lexeme_dictionary_pruned,
     **{f"filter_{name}_roundtrip": _roundtrip(name) for name in FILTERS},
+    **{f"filter_{name}_forward": _forward(name) for name in FILTERS},
     "float32_split_stats": float32_split_stats,
 }
 
@@ -122,8 +147,30 @@ q as (select doc_id, lexeme, count(*) as times, strlen(lexeme) as length from p
   where strlen(lexeme) between 4 and 128 and 4 * length(regexp_replace(lexeme, '[^0-9]', '', 'g')) <= 3 * strlen(lexeme) group by doc_id, lexeme)"""
 _SCORES = f"""{_LEXEMES},
 sc as (select *, times * (length - 2) - (length + {varint('length')} + 2) as score from q where times >= 2),
-rk as (select *, row_number() over (partition by doc_id order by score desc, length desc, lexeme) - 1 as rank from sc where score > 16),
-top as (select * from rk where rank < 4096)"""
+rk as (select *, row_number() over (partition by doc_id order by score desc, length desc, lexeme) - 1 as rank from sc where score > 16)"""
+#: An entry inside a dropped one is inside a kept one, too; so the last leader can be found with all earlier entries.
+_PRUNED = f"""{_SCORES},
+k0 as (select *, score >= 128 or not exists (select 1 from rk h where h.doc_id = rk.doc_id and h.rank < rk.rank and contains(h.lexeme, rk.lexeme)) as first_kept from rk),
+k1 as (select *, sum(first_kept::int) over (partition by doc_id order by rank) as so_far from k0),
+cut as (select doc_id, coalesce(min(case when so_far >= 64 then rank end), max(rank)) as last_leader from k1 group by doc_id),
+kept as (select rk.* from rk join cut using (doc_id) where score >= 128 or not exists (
+  select 1 from rk h where h.doc_id = rk.doc_id and h.rank < rk.rank and h.rank <= last_leader and contains(h.lexeme, rk.lexeme))),
+pruned as (select * from (select doc_id, lexeme, times, length, score, row_number() over (partition by doc_id order by rank) - 1 as rank from kept) where rank < 4096)"""
+
+
+def _filtered(value: str, order: str = "i") -> str:
+    return f"with {_BYTES}, p as (select *, {value} as v from b join n using (doc_id) window w as (partition by doc_id order by i)) select doc_id, md5(string_agg(printf('%02X', v::bigint), '' order by {order})) as filtered_md5 from p group by doc_id"
+
+
+_FORWARD = {
+    "delta": _filtered("(byte - lag(byte, 1, 0) over w + 256) % 256"),
+    "xor": _filtered("xor(byte, lag(byte, 1, 0) over w)"),
+    **{f"stride{w}": _filtered("byte", f"case when i <= n - n % {w} then (i - 1) % {w} else {w} end, i") for w in (2, 4, 8)},
+    "nibble": """with h as (select doc_id, hex(encode(text)) as h, strlen(text) as n from documents where strlen(text) > 0),
+d as (select doc_id, n, h[i] as c, i from (select doc_id, h, n, unnest(range(1, 2 * n + 1)) as i from h)),
+s as (select doc_id, n, string_agg(case when i % 2 = 1 then c end, '' order by i) as high, string_agg(case when i % 2 = 0 then c end, '' order by i) as low from d group by doc_id, n)
+select doc_id, md5(high || repeat('0', n % 2) || low || repeat('0', n % 2)) as filtered_md5 from s""",
+}
 
 ORACLE = {
     "byte_histogram": f"with {_BYTES} select doc_id, byte, times from c",
@@ -139,8 +186,8 @@ s as (select doc_id, 9 + sum(1 + {varint('run')}) as rle, count(distinct byte) a
 o as (select doc_id, n, 5 + n as raw, case when n > 4 and dist = 1 then 6 end::bigint as fill, case when n >= 16 then rle end::bigint as rle from s join n using (doc_id))
 select *, least(raw, fill, rle) as least from o""",
     "lexeme_candidates": f"with {_LEXEMES} select * from q",
-    "lexeme_scores": f"with {_SCORES} select doc_id, lexeme, times, length, score, rank from top",
-    "lexeme_scores_pruned": f"""with {_SCORES} select doc_id, lexeme, times, length, score, rank from top where score >= 128 or not exists (
-  select 1 from top h where h.doc_id = top.doc_id and h.rank < 64 and h.rank < top.rank and contains(h.lexeme, top.lexeme))""",
+    "lexeme_scores": f"with {_SCORES} select doc_id, lexeme, times, length, score, rank from rk",
+    "lexeme_scores_pruned": f"with {_PRUNED} select * from pruned",
+    **{f"filter_{name}_forward": sql for name, sql in _FORWARD.items()},
     **{f"filter_{name}_roundtrip": "select doc_id, strlen(text) as n, sha256(text) as sha256 from documents" for name in FILTERS},
 }

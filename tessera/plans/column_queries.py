@@ -78,11 +78,13 @@ li as (select *, row_number() over (partition by l_suppkey order by l_orderkey,
 vals as (select l_suppkey as supp, 'order' as col, row_no, l_orderkey::varchar as value from li
   union all select l_suppkey, 'quantity', row_no, lpad(l_quantity::bigint::varchar, 4, '0') from li
   union all select l_suppkey, 'flag', row_no, l_returnflag || l_linestatus from li)"""
-_ROWS = f"""{_VALUES},
+#: From ``vals(supp, col, row_no, value)`` on.
+_FROM_VALUES = f"""
 xs as (select *, strlen(value) as len, case when regexp_full_match(value, '[0-9]{{1,15}}') then value::bigint end as x from vals),
 ds as (select *, x - lag(x) over w as d1 from xs window w as (partition by supp, col order by row_no)),
 es as (select *, d1 - lag(d1) over w as d2 from ds window w as (partition by supp, col order by row_no)),
 zs as (select *, case when d1 is not null then {zz('d1')} end as z1, case when d2 is not null then {zz('d2')} end as z2 from es)"""
+_ROWS = f"{_VALUES},{_FROM_VALUES}"
 _LENGTHS = f"""
 st as (select *, len is distinct from lag(len) over (partition by supp, col order by row_no) as new from zs),
 ru as (select supp, col, len, count(*) as run from (select *, sum(new::int) over (partition by supp, col order by row_no) as island from st) group by supp, col, len, island),
@@ -93,7 +95,8 @@ _DICT = """
 di as (select *, row_number() over (partition by supp, col order by first_row) - 1 as id from (
   select supp, col, value, min(row_no) as first_row, count(*) as times from vals group by supp, col, value))"""
 _K = lambda z: f"least(20, length(bin(greatest(1, floor(avg({z}) over (partition by supp, col)))::bigint)) - 1)"
-_COSTS = f"""with {_ROWS}, {_LENGTHS}, {_DICT},
+#: Sizes ``co`` of all encodings of the columns in ``vals``.
+COSTS_OF_VALUES = f"""{_FROM_VALUES}, {_LENGTHS}, {_DICT},
 ks as (select *, {_K('z1')} as k1, {_K('z2')} as k2 from zs),
 qs as (select *, z1 >> k1 as q1, z2 >> k2 as q2 from ks),
 ag as (select supp, col, count(*) as n, count(x) = count(*) as num, min(value) as least_, max(value) as most_, sum({varint('len')} + len) as raw_bytes,
@@ -117,6 +120,7 @@ co as (select supp, col, n,
   (case when n >= 3 and dist < n and dist <= 4096 then 1 + {varint('dist')} + entry_bytes + id_bytes end)::bigint as dict,
   (case when n >= 8 and dist > 1 and dist < n and dist <= 256 then 1 + {varint('dist')} + entry_bytes + 9 + (n * {width('greatest(1, dist - 1)')} + 7) // 8 end)::bigint as dict_packed
   from al)"""
+_COSTS = f"with {_VALUES}, {COSTS_OF_VALUES}"
 _CASES = " ".join(f"when {c} = least({', '.join(CODECS)}) then '{c}'" for c in CODECS)
 
 ORACLE = {

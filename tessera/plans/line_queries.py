@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera.operators.lines import rendered_events, split_lines, variable_type, variables
 from tessera.operators.templates import STANDARD, STRICT, WIDE, MiningOptions, dictionary_bytes, inline_bytes, match_lines, mine_templates, rebuilt_lines, tagged_entries, variable_columns
+from tessera.operators.structural import columns_deflated, template_candidates
+from tessera.plans.column_queries import COSTS_OF_VALUES
 from tessera.plans.sql import varint
 from tessera.sources.tables import table
 
 BY = ["file"]
+#: Daily logs of the small tables are below the size from which strict and wide mining are tried.
+VARIANT_BYTES = 16 * 1024
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +74,14 @@ def template_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("file", "line_no", F.md5("line").alias("line_md5"))
 
 
+def template_candidate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_candidates(_log(spark, sf_dir), BY, VARIANT_BYTES)
+
+
+def template_ratio_vs_deflate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns_deflated(_log(spark, sf_dir), BY)
+
+
 QUERIES = {
     "line_split": line_split,
     "token_extract": token_extract,
@@ -83,6 +95,8 @@ QUERIES = {
     "template_dictionary_bytes": template_dictionary_bytes,
     "variable_long_form": variable_long_form,
     "template_roundtrip": template_roundtrip,
+    "template_candidate_bytes": template_candidate_bytes,
+    "template_ratio_vs_deflate": template_ratio_vs_deflate,
 }
 
 # In the rendered events every variable is a run of digits that touches no letter, so SQL needs no look-around.
@@ -111,8 +125,33 @@ def _mining_sql(o: MiningOptions, by: str = "file") -> str:
 
 _MATCHED = f"""{_templates(STANDARD)},
 m as (select k.*, t.template_id from k left join t on k.file = t.file and k.shape = t.shape)"""
+
 _VALUE = f"list_transform(vars, lambda x: 1 + {varint('strlen(x)')} + {varint('x::bigint')})"
 
+
+def _candidate_sql(name: str, o: MiningOptions, least: int) -> str:
+    """One layout of all files; columns by the sizes of ``COSTS_OF_VALUES``, whose keys are (supp, col)."""
+    codecs = "raw, const, delta, delta_compact, delta2_compact, for_bitpack, delta_bitpack, delta2_bitpack, rice, rice2, dict, dict_packed"
+    matched = f"""{_templates(o)},
+f as (select file, sum(strlen(line))::bigint as original, count(*) as lines from l group by file having count(*) >= 4 and sum(strlen(line)) >= {least}),
+m as (select k.*, t.template_id, last_value(t.template_id ignore nulls) over (partition by k.file order by k.line_no rows between unbounded preceding and 1 preceding) as before
+  from k left join t on k.file = t.file and k.shape = t.shape),
+w as (select file, ({varint('count(*)')} + sum({varint('slots')} + list_sum(list_transform(string_split(shape, '#'), lambda x: {varint('strlen(x)')} + strlen(x))) + slots))::bigint as dict_size, count(*) as templates from t group by file),
+e as (select file, count(template_id) as hits, count(*) - count(template_id) as raw_lines, sum(case when template_id is not null then slots else 0 end)::bigint as vars,
+  count(*) filter (template_id = before) as same,
+  sum(case when template_id is null then 1 + {varint('strlen(line)')} + strlen(line) when template_id = before then 1 else 1 + {varint('template_id')} end)::bigint as entry_bytes,
+  sum(case when template_id is null then 1 + {varint('strlen(line)')} + strlen(line) else 1 + {varint('template_id')} + list_sum({_VALUE}) end)::bigint as line_bytes from m group by file),
+q as (select *, row_number() over (partition by file, template_id order by line_no) as row_no from m where template_id is not null),
+vals as (select file as supp, template_id || ':' || i as col, row_no, vars[i] as value from (select *, unnest(range(1, len(vars) + 1)) as i from q))"""
+    size = f"(48 + 9 + dict_size + {varint('lines')} + "
+    report = "templates, hits, raw_lines, vars, same, original"
+    if name == "rows":
+        return f"(with {matched} select file, 'rows' as candidate, {size} line_bytes)::bigint as bytes, true as valid, {report} from f join w using (file) join e using (file))"
+    return f"""(with {matched}, {COSTS_OF_VALUES},
+y as (select supp as file, sum({varint(f'least({codecs})')} + least({codecs}))::bigint as column_bytes from co group by supp)
+select file, '{name}' as candidate, {size} entry_bytes + column_bytes)::bigint as bytes, true as valid, {report} from f join w using (file) join e using (file) join y using (file))"""
+
+
 ORACLE = {
     "line_split": r"""
 select doc_id, i - 1 as line_no, strlen(lines[i]) as bytes, md5(lines[i]) as line_md5
@@ -136,5 +175,8 @@ select file, ({varint('count(*)')} + sum({varint('slots')} + parts + slots))::bi
     "variable_long_form": f"""with {_MATCHED},
 n as (select *, row_number() over (partition by file, template_id order by line_no) - 1 as row_no from m where template_id is not null)
 select file, template_id, i - 1 as slot, row_no, vars[i] as value from (select *, unnest(range(1, len(vars) + 1)) as i from n)""",
+    "template_candidate_bytes": " union all ".join(
+        [_candidate_sql("rows", STANDARD, 0), _candidate_sql("columns", STANDARD, 0), _candidate_sql("columns-strict", STRICT, VARIANT_BYTES), _candidate_sql("columns-wide", WIDE, VARIANT_BYTES)]
+    ),
     "template_roundtrip": f"with {_LINES} select file, line_no, md5(line) as line_md5 from l",
 }

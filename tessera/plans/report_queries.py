@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import human_size as human
 from tessera.functions.scalars import percent_saved
 from tessera.operators.reports import against_deflate, last_runs, with_previous, without_file
-from tessera.operators.selection import CANDIDATES, block_tournament, candidates, chunked_size, decode, deflated, encode, in_chunks, inflated, packed_size, winners
+from tessera.operators.selection import CANDIDATES, block_tournament, candidates, chunked_size, decode, deflated, encode, in_chunks, inflated, packed_size, smallest
 from tessera.sources.tables import table
 
 CHUNK_BYTES, BLOCK_SIZES = 4096, [8192, 16384]
@@ -23,7 +23,7 @@ def candidate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winners(candidates(_content(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    return _content(spark, sf_dir).select("doc_id", smallest("content").alias("s")).select("doc_id", "s.candidate", "s.bytes")
 
 
 def candidate_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ def block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratio_vs_deflate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _content(spark, sf_dir)
-    return against_deflate(winners(candidates(rows, ["doc_id"]), ["doc_id"]), rows, ["doc_id"])
+    sizes = _content(spark, sf_dir).select("doc_id", F.octet_length("content").cast("bigint").alias("original"), smallest("content").alias("s"))
+    return against_deflate(sizes.select("doc_id", "original", "s.bytes", "s.deflate"), ["doc_id"])
 
 
 def deflate_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

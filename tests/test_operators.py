@@ -11,9 +11,13 @@ from tessera.functions.scalars import human_size
 from tessera.operators.columns import CODECS, codec_choice, column_costs
 from tessera.operators.filters import FILTERS
 from tessera.operators.lines import split_lines, variable_type, variables
-from tessera.operators.reports import with_previous
+from tessera.operators import templates as templates_module
+from tessera.operators.byte_stats import run_counts, stream_choice, stream_costs, table_frequencies
+from tessera.operators.phrases import lexeme_candidate, lexeme_pieces, replaced, restored, without_contained
+from tessera.operators.reports import append_runs, last_runs, with_previous
 from tessera.operators.selection import CANDIDATES, FRAME, candidates, decoded, encoded, in_chunks, packed, winners
 from tessera.operators.templates import match_lines, mine_templates, rebuilt_lines, tagged_entries, variable_columns
+from tessera.operators.structural import columns_deflated, template_candidates
 from tessera.plans import report_queries
 from tessera.sources.files import read_chunks, read_files, read_frames, whole_files, write_frames
 from tessera.streaming.micro_batches import mine_batches
@@ -171,3 +175,113 @@ def test_micro_batches(spark, tmp_path):
     stream = spark.readStream.schema("file string, line_no long, line string").parquet(str(tmp_path / "lines"))
     mine_batches(stream, str(tmp_path / "templates"), str(tmp_path / "checkpoint")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "templates")).first().hits == 50
+
+
+def test_ranges_of_lines_make_no_difference(spark, monkeypatch):
+    """Rows and tags are numbered the same when a file is cut into ranges of three lines."""
+    lines = [("f", 2 * k, line if k % 5 else "raw line of its own\n") for _, k, line in log(40)] + [("f", 200 + k, f"another line of text {k:03d}\n") for k in range(9)] + [("g", k, "no variable\n") for k in range(5)]
+    df = spark.createDataFrame(lines, "file string, line_no long, line string")
+    matched = match_lines(df, mine_templates(df, ["file"]), ["file"])
+
+    def found():
+        tags = sorted((r.file, r.line_no, r.tag) for r in tagged_entries(matched, ["file"]).collect())
+        return tags, sorted((r.template_id, r.slot, r.row_no, r.value) for r in variable_columns(matched, ["file"]).collect())
+
+    whole = found()
+    monkeypatch.setattr(templates_module, "RANGE", 3)
+    assert found() == whole and [t for _, _, t in whole[0]].count(2) > 30
+
+
+def test_structural_candidates_of_a_log(spark):
+    """The log of 3,000 lines: one template with ten slots, every line hit, rebuilt, and smaller than deflate."""
+    df = spark.createDataFrame(log(3000), "file string, line_no long, line string")
+    found = {r.candidate: r for r in template_candidates(df, ["file"], variant_bytes=0).collect()}
+    assert set(found) == {"rows", "columns", "columns-strict", "columns-wide"}
+    for r in found.values():
+        assert r.valid and (r.templates, r.hits, r.raw_lines, r.vars, r.same) == (1, 3000, 0, 30_000, 2999)
+    assert found["columns"].bytes < found["rows"].bytes < found["rows"].original
+    sizes = columns_deflated(df, ["file"]).first()
+    assert sizes.bytes < sizes.deflate < sizes.original == found["rows"].original
+    few = spark.createDataFrame(log(3) + [("g", k, "no variable\n") for k in range(9)], "file string, line_no long, line string")
+    assert template_candidates(few, ["file"]).count() == 0
+
+
+def test_texts_of_many_escapes(spark):
+    """Quoted literals of 100,000 escapes neither fill the stack nor change what is found."""
+    texts = ['"' + "\\\\n" * 100_000 + '" and run_of_bytes', "'it''s' \\", '"open ' + "\\\\x" * 50_000, "`a\\`b` word"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(lexeme_pieces(F.col("text")).alias("p")).collect()
+    assert [r.p for r in rows][0] == ["run_of_bytes"] and [r.p for r in rows][3] == ["word", "`a\\`b`"]
+
+
+def test_numbers_end_where_the_value_ends(spark):
+    """A line end behind the digits makes a value text, whose bytes all count."""
+    df = spark.createDataFrame([(0, k, v) for k, v in enumerate(["12\n", "13\n", "14\n"])], "key long, row_no long, value string")
+    (row,) = column_costs(df, ["key"]).collect()
+    assert row.delta is None and row.raw == 1 + 3 * 4
+
+
+def test_entries_inside_the_first_kept_ones_go(spark):
+    dice = random.Random(7)
+    words = {"".join(dice.choice("ab") for _ in range(dice.randrange(3, 9))) for _ in range(150)}
+    ranked = [(1, w, 300 - 2 * k, k) for k, w in enumerate(sorted(words, key=lambda w: (-len(w), w)))]
+    dice.shuffle(ranked)
+    ranked = [(1, w, 300 - 2 * k, k) for k, (_, w, _, _) in enumerate(ranked)]
+    kept = []
+    for _, word, score, _ in ranked:
+        if score >= 250 or not any(word in k for k in kept[:30]):
+            kept.append(word)
+    df = spark.createDataFrame(ranked, "doc_id long, lexeme string, score long, rank long")
+    found = without_contained(df, ["doc_id"], least=250, leaders=30).orderBy("rank").collect()
+    assert [r.lexeme for r in found] == kept and [r.rank for r in found] == list(range(len(kept))) and len(kept) < len(ranked)
+
+
+def test_replaced_lexemes_are_restored(spark):
+    dice = random.Random(3)
+    entries = [bytes(dice.choice(b"ab\xff") for _ in range(n)) for n in (4, 5, 6, 7)] + [b"abcd"] * 1 + [b"w%03d_" % k for k in range(200)]
+    for _ in range(50):
+        content = b"".join(dice.choice([*entries, b"\xff", b"x", b"ab"]) for _ in range(dice.randrange(0, 60)))
+        payload, hits, saved = replaced(content, entries)
+        assert restored(payload, entries) == content
+        at, greedy = 0, 0
+        while at < len(content):
+            fit = max((len(e) for e in entries if content.startswith(e, at)), default=0)
+            greedy += fit > 0
+            at += fit or 1
+        assert hits == greedy and len(payload) == len(content) - saved + content.count(b"\xff") - sum(e.count(b"\xff") for e in matched_entries(content, entries))
+    text = "\n".join(f"GET /api/v1/resource/{k % 3} status=ok client=browser" for k in range(200))
+    (row,) = lexeme_candidate(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string"), "doc_id").collect()
+    assert row.valid and row.bytes < row.n / 2 and row.hits >= 400
+
+
+def matched_entries(content, entries):
+    at = 0
+    while at < len(content):
+        fit = max((e for e in entries if content.startswith(e, at)), key=len, default=b"")
+        if fit:
+            yield fit
+        at += len(fit) or 1
+
+
+def test_streams_and_frequencies(spark):
+    texts = ["", "a" * 3, "a" * 500, "ab" * 40, "".join(map(chr, range(32, 127))) * 3, "x" * 300 + "yz" * 5, "a" * 5000 + "bc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chosen = {r.doc_id: (r.stream, r.bytes) for r in stream_choice(stream_costs(docs, "doc_id"), "doc_id").collect()}
+    assert chosen[0] == ("raw", 5) and chosen[2] == ("fill", 6) and chosen[5][0] == "rle"
+    # two symbols take two bits each where one would do
+    assert chosen[3] == ("raw", 85) and {r.doc_id: r.huffman_plus_one for r in stream_costs(docs, "doc_id").collect()}[3] == 269 + 20
+    runs = {r.doc_id: tuple(r.r) for r in docs.select("doc_id", run_counts(F.encode("text", "UTF-8")).alias("r")).collect()}
+    assert runs[0] == (0, 0, 0, 0) and runs[2] == (1, 500, 1, 3) and runs[6] == (3, 5000, 1, 7) and runs[3] == (80, 1, 0, 160)
+    counts = [[0] * 256, [60, 4] + [0] * 254, [10**6] + [1] * 255, [7] * 256, [3, 60] + [0] * 254]
+    tables = [r.f for r in spark.createDataFrame([(c,) for c in counts], "c array<long>").select(table_frequencies("c").alias("f")).collect()]
+    assert tables[0] is None and tables[4] is None or sum(tables[4]) == 4096
+    for c, f in zip(counts[1:4], tables[1:4], strict=True):
+        assert sum(f) == 4096 and all((x > 0) == (y > 0) for x, y in zip(c, f, strict=True))
+    assert tables[1][:2] == [3840, 256] and tables[2][0] == 4096 - 255 and set(tables[3]) == {16}
+
+
+def test_appended_histories(spark, tmp_path):
+    for ts in range(3):
+        append_runs(spark.createDataFrame([("f", ts, 10 - ts, 20), ("g", ts, 5, 5)], "file string, ts int, size long, base long"), str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    assert runs.count() == 6 and sorted((r.ts, r.change) for r in with_previous(runs).where("file = 'f'").collect()) == [(0, None), (1, -1), (2, -1)]
+    assert last_runs(runs, 2).count() == 4

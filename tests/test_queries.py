@@ -9,7 +9,7 @@ from tessera.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["template_mining", "template_hits_vs_raw", "template_repeat_tags", "template_dictionary_bytes", "variable_long_form", "template_roundtrip", "column_codec_bytes", "codec_choice", "line_split", "byte_histogram", "byte_entropy", "stream_cost_nohuff", "lexeme_scores_pruned", "candidate_roundtrip", "run_history_delta", "human_size"]
+CHOSEN = ["template_mining", "template_hits_vs_raw", "template_repeat_tags", "template_dictionary_bytes", "variable_long_form", "template_roundtrip", "template_candidate_bytes", "column_codec_bytes", "codec_choice", "line_split", "byte_histogram", "byte_entropy", "stream_cost_nohuff", "lexeme_scores_pruned", "rle_runs", "filter_delta_forward", "filter_xor_forward", "filter_stride4_forward", "filter_nibble_forward", "candidate_roundtrip", "run_history_delta", "human_size"]
 
 
 def rows(frame: pd.DataFrame) -> list[str]:
