@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from .metric_join import whole_groups
 from .scratch import Scratch
-from .text import utf8
+from .text import id_ranges, utf8
 
 ANCHOR = 32
 #: Bytes that are hashed at once; places in a block fit into 20 bits.
@@ -219,6 +219,8 @@ def _settled(candidates: DataFrame, texts: DataFrame, length: int, group_most: i
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, group in whole_groups(batches, ["key"]):
+            once = ~part.duplicated(["key", "doc_id", "start"]).to_numpy()  # a document's rows may repeat
+            part, group = part[once], group[once]
             sizes = part["strings"].map(len).to_numpy()
             row = np.repeat(np.arange(len(part)), sizes)
             # rows come by document and start, so of equal strings the one that comes first is the earliest
@@ -256,19 +258,16 @@ KEPT = "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bi
 def suffix_dedup(docs: DataFrame, length: int = 100, batches: int = 4, group_most: int = 10_000, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` for every row of ``docs(doc_id, text)``: what goes and the bytes that are left.
 
-    ``length`` is from 2 * ANCHOR to 127 bytes. ``batches`` ranges of doc_id enter the index one after the other.
+    ``length`` is from 2 * ANCHOR to 127 bytes. ``batches`` ranges of doc_id, with about as many documents each, enter the index one after the other.
     """
     if not 2 * ANCHOR <= length <= 127:
         raise ValueError("length must be from 64 to 127")
     scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8(F.col("text")).alias("body"))
     named = texts.where("doc_id is not null")
-    low, high = named.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    step = max(1, (high - low + batches) // batches)
     index = SuffixIndex(scratch)
-    for start in range(low, high + 1, step):
-        index.add(sampled(named.where(F.col("doc_id").between(start, start + step - 1)), length))
+    for batch in id_ranges(named, batches):
+        index.add(sampled(batch, length))
     index.close()
     gone = _settled(_union(index.candidates), named, length, group_most, scratch)
     gone = _union([*index.copies, gone]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("places"))

@@ -8,11 +8,12 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.exact_dedup import DigestIndex, exact_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.piece_bpe import decode_documents, encode_documents
 from tessera.llm.quality_rules import quality_rules, text_counts
 from tessera.llm.queries import ORACLE, QUERIES, URL_RULES
+from tessera.llm.scratch import Scratch
 from tessera.llm.url_filter import filter_urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, kept string"
@@ -39,6 +40,41 @@ def test_exact_dedup(spark, keep, digest_bytes):
     assert sorted(map(tuple, found)) == expected
 
 
+def test_filters_note_all_digests_that_occur_again(spark, monkeypatch):
+    """Memtables probe the filters of older runs, compacted ones too: what is noted holds all repeats and few others."""
+    dice = random.Random(4)
+    rows = [(k, hashlib.sha256(str(dice.randrange(3000)).encode()).digest()) for k in range(4000)]
+    df = spark.createDataFrame([(bytearray(d), k) for k, d in rows], "digest binary, rank bigint")
+    index = DigestIndex(spark, Scratch(spark), buckets=3)
+    for start in range(0, 4000, 800):
+        index.add(df.where(F.col("rank").between(start, start + 799)))
+    groups = defaultdict(list)
+    for k, d in rows:
+        groups[d].append(k)
+    found = {bytes(r.digest): (r.least, r.n) for r in index.lookup().collect()}
+    again = {d: (min(ks), len(ks)) for d, ks in groups.items() if len(ks) > 1}
+    assert {d: v for d, v in found.items() if v[1] > 1} == again and len(found) < len(again) * 1.05
+
+
+def test_edges_of_exact_dedup(spark):
+    """Rows without doc_id, repeated rows, long texts, one outlying id, an empty table."""
+    long = "Word " * 200_000
+    rows = [(None, "same", "", "", ""), (None, "same", "", "", ""), (1, "same", "", "", ""), (1, "same", "", "", ""), (5, "SAME", "", "", ""), (2**50, long, "", "", ""), (7, long.upper(), "", "", ""), (8, None, "", "", ""), (9, "", "", "", "")]
+    found = exact_dedup(spark.createDataFrame(rows, DOCS), keep="smallest").collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in found) == sorted([("None", "None", 1, True)] * 2 + [("1", "1", 3, True)] * 2 + [("5", "1", 3, False), (str(2**50), "7", 2, False), ("7", "7", 2, True), ("8", "8", 2, True), ("9", "8", 2, False)])
+    assert exact_dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_edges_of_url_filter(spark):
+    """Very long urls, repeated rows, an empty table."""
+    schema = "page_id bigint, url string, rule int"
+    far = "http://a.org/" + "x/" * 20_000
+    rows = [(1, far, 0), (1, far, 0), (2, "http://" + "sub." * 2000 + "example.org/es/", 0), (3, None, 0)]
+    found = filter_urls(spark.createDataFrame(rows, schema), URL_RULES).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in found if r.rule) == [(1, "org/", "allow"), (1, "org/", "allow"), (2, "example.org/es/", "block")]
+    assert filter_urls(spark.createDataFrame([], schema), URL_RULES).count() == 0
+
+
 def test_url_filter(spark):
     urls = ["http://a.Example.ORG/es/x?y", "https://example.org/en/12", "x://notexample.org/es/", "http://b.com/fr/", "http://com/de/#f", "http://org", "nothing", None, "", "a://b://c"]
     pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "page_id bigint, url string, rule int")

@@ -46,6 +46,20 @@ def test_like_brute_force(spark, group_most):
     assert sorted(map(tuple, found)) == brute(docs)
 
 
+def test_texts_longer_than_a_block_and_repeated_rows(spark, monkeypatch):
+    """Repeats across the edges of blocks, inside one long text and between two; rows that stand twice; one outlying id."""
+    monkeypatch.setattr("tessera.llm.suffix_dedup.BLOCK", 4096)
+    dice = random.Random(12)
+    text = lambda n: "".join(dice.choices("abcdefgh \n", k=n))
+    passage = text(5000)
+    docs = [(1, text(4000) + passage + text(9000)), (2, text(4090) + passage[:300] + text(700) + passage), (3, text(50) + "é" * 6000), (2**40, passage[2000:2150])]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], SCHEMA)
+    found = removed_bytes(suffix_dedup(df)).collect()
+    assert sorted(map(tuple, found)) == brute(docs)
+    twice = removed_bytes(suffix_dedup(df.unionByName(df.where("doc_id = 2")))).collect()
+    assert sorted(map(tuple, twice)) == sorted([*brute(docs), brute(docs)[1]])
+
+
 def test_key_that_is_common_in_one_batch_only(spark):
     """Its count is 12 in the second batch and 8 in the third, whose string starts earlier only in rows noted before."""
     dice = random.Random(8)
