@@ -9,11 +9,11 @@ from tessera.operators.byte_stats import context_counts, counted, entropy, histo
 from tessera.operators.filters import FILTERS, apply_filter, float_parts, undo_filter
 from tessera.operators.phrases import LEXEME, lexeme_candidate, lexeme_scores, lexemes, phrases, without_contained
 from tessera.plans.sql import varint
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _content(spark: SparkSession, sf_dir: str) -> DataFrame:

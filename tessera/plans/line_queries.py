@@ -10,7 +10,7 @@ from tessera.operators.templates import STANDARD, STRICT, WIDE, MiningOptions, d
 from tessera.operators.structural import columns_deflated, template_candidates
 from tessera.plans.column_queries import COSTS_OF_VALUES
 from tessera.plans.sql import varint
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 BY = ["file"]
 #: Daily logs of the small tables are below the size from which strict and wide mining are tried.
@@ -18,7 +18,7 @@ VARIANT_BYTES = 16 * 1024
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered_events(table(spark, sf_dir, "events"))
+    return rendered_events(spread(table(spark, sf_dir, "events")))
 
 
 def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ from tessera.functions.scalars import human_size as human
 from tessera.functions.scalars import percent_saved
 from tessera.operators.reports import against_deflate, last_runs, with_previous, without_file
 from tessera.operators.selection import CANDIDATES, block_tournament, candidates, chunked_size, decode, deflated, encode, in_chunks, inflated, packed_size, smallest
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 CHUNK_BYTES, BLOCK_SIZES = 4096, [8192, 16384]
 
 
 def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("content"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("content"))
 
 
 def candidate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
