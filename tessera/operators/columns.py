@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.ranges import earlier_ranges, numbered, ranged
 from tessera.functions.scalars import bit_width, ceil_bytes, unzigzag, varint_len, zigzag
 
 #: Encodings in the order in which ties are settled.
 CODECS = ["raw", "const", "delta", "delta_compact", "delta2_compact", "for_bitpack", "delta_bitpack", "delta2_bitpack", "rice", "rice2", "dict", "dict_packed"]
 WIDEST = (1 << 32) - 1
 MOST_QUOTIENT, MOST_REMAINDER_BITS = 4096, 20
+#: A column with a larger code has too large a quotient for any Rice parameter; so sums of codes stay within 64 bits.
+CLIP = MOST_QUOTIENT << (MOST_REMAINDER_BITS + 1)
+MOST_ENTRIES = 4096
 
 
 def with_differences(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,10 +45,13 @@ def length_model(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sized.select(*keys, size.cast("bigint").alias("len_bytes"))
 
 
+def _distinct(values: DataFrame, keys: list[str]) -> DataFrame:
+    return values.groupBy(*keys, "value").agg(F.min("row_no").alias("first_row"), F.count("*").alias("times"))
+
+
 def dictionary(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct values of each column with ``id`` in order of first appearance, and how often they occur."""
-    found = values.groupBy(*keys, "value").agg(F.min("row_no").alias("first_row"), F.count("*").alias("times"))
-    return found.withColumn("id", (F.row_number().over(Window.partitionBy(*keys).orderBy("first_row")) - 1).cast("bigint"))
+    """Distinct values of each column with ``id`` in order of first appearance, numbered in ranges, and how often they occur."""
+    return numbered(_distinct(values, keys), keys, "first_row", "id")
 
 
 def dictionary_ids(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,6 +59,11 @@ def dictionary_ids(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.join(dictionary(values, keys).select(*keys, "value", "id"), [*keys, "value"])
 
 
+def dictionary_values(ids: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
+    """The inverse: each row's value, from ``ids(keys..., row_no, id)`` and ``entries(keys..., id, value)``."""
+    return ids.join(entries, [*keys, "id"]).select(*keys, "row_no", "value")
+
+
 def _packed(count: Column, width: Column) -> Column:
     return 9 + ceil_bytes(count * width)
 
@@ -61,7 +73,7 @@ def column_costs(values: DataFrame, keys: list[str]) -> DataFrame:
     rows = with_differences(values, keys)
     whole = Window.partitionBy(*keys)
     # Rice needs its parameter before it can count: the bit length of the mean, from sums over the whole column
-    k = lambda z: F.least(F.lit(MOST_REMAINDER_BITS), bit_width(F.greatest(F.lit(1), F.floor(F.sum(z).over(whole) / F.count(z).over(whole)))) - 1).cast("int")
+    k = lambda z: F.least(F.lit(MOST_REMAINDER_BITS), bit_width(F.greatest(F.lit(1), F.floor(F.sum(F.when(F.col(z) > CLIP, CLIP).otherwise(F.col(z))).over(whole) / F.count(z).over(whole)))) - 1).cast("int")
     rows = rows.withColumns({"k1": k("z1"), "k2": k("z2")})
     rows = rows.withColumns({"q1": F.expr("shiftright(z1, k1)"), "q2": F.expr("shiftright(z2, k2)")})
     col = F.col
@@ -85,7 +97,8 @@ def column_costs(values: DataFrame, keys: list[str]) -> DataFrame:
         F.max("q1").alias("q1_max"),
         F.max("q2").alias("q2_max"),
     )
-    entries = dictionary(values, keys).groupBy(*keys).agg(
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_row"))
+    entries = _distinct(values, keys).withColumn("id", (place - 1).cast("bigint")).groupBy(*keys).agg(
         F.count("*").alias("distinct"),
         F.sum(varint_len(F.octet_length("value").cast("bigint")) + F.octet_length("value")).alias("entry_bytes"),
         F.sum(varint_len(col("id")) * col("times")).alias("id_bytes"),
@@ -106,7 +119,7 @@ def column_costs(values: DataFrame, keys: list[str]) -> DataFrame:
         "delta2_bitpack": F.when(number & (n >= 12) & (col("z2_max") <= WIDEST), head + second + _packed(n - 2, bit_width(col("z2_max")))),
         "rice": F.when(number & (n >= 8) & (col("q1_max") <= MOST_QUOTIENT), head + 9 + ceil_bytes(col("rice_bits"))),
         "rice2": F.when(number & (n >= 12) & (col("q2_max") <= MOST_QUOTIENT), head + second + 9 + ceil_bytes(col("rice2_bits"))),
-        "dict": F.when((n >= 3) & (col("distinct") < n) & (col("distinct") <= 4096), 1 + varint_len(col("distinct")) + col("entry_bytes") + col("id_bytes")),
+        "dict": F.when((n >= 3) & (col("distinct") < n) & (col("distinct") <= MOST_ENTRIES), 1 + varint_len(col("distinct")) + col("entry_bytes") + col("id_bytes")),
         "dict_packed": F.when(
             (n >= 8) & (col("distinct") > 1) & (col("distinct") < n) & (col("distinct") <= 256),
             1 + varint_len(col("distinct")) + col("entry_bytes") + _packed(n, bit_width(F.greatest(F.lit(1), col("distinct") - 1))),
@@ -123,7 +136,12 @@ def codec_choice(costs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def decode_differences(encoded: DataFrame, keys: list[str]) -> DataFrame:
-    """Values from zigzag codes ``z`` (the first value's own at the first row) and lengths ``len``: a running sum, padded."""
-    w = Window.partitionBy(*keys).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    x = F.sum(unzigzag(F.col("z"))).over(w)
-    return encoded.select(*keys, "row_no", F.lpad(x.cast("string"), F.col("len").cast("int"), F.lit("0")).alias("value"))
+    """Values from zigzag codes ``z`` (the first value's own at the first row) and lengths ``len``: a running sum, padded.
+
+    Sums run inside ranges of rows, from the sums of earlier ranges.
+    """
+    rows, part = ranged(encoded.withColumn("d", unzigzag(F.col("z"))), "row_no"), [*keys, "range"]
+    sums = rows.groupBy(*part).agg(F.sum("d").alias("sum")).select(*part, F.coalesce(F.sum("sum").over(earlier_ranges(keys)), F.lit(0)).alias("carried"))
+    w = Window.partitionBy(*part).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col("carried") + F.sum("d").over(w)
+    return rows.join(sums, part).select(*keys, "row_no", F.lpad(x.cast("string"), F.col("len").cast("int"), F.lit("0")).alias("value"))

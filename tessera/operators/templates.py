@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.ranges import earlier_ranges, numbered, ranged
 from tessera.functions.scalars import varint_len
 from tessera.operators.lines import with_shape
 
@@ -52,24 +53,15 @@ def match_lines(lines: DataFrame, templates: DataFrame, by: list[str]) -> DataFr
     return with_shape(lines).join(templates.select(*keys, "template_id"), keys, "left")
 
 
-#: Lines of one file that are put in order together; longer files are numbered a range at a time.
-RANGE = 1 << 16
-
-
-def _ranged(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("range", F.floor(F.col("line_no") / RANGE))
-
-
 def tagged_entries(matched: DataFrame, by: list[str]) -> DataFrame:
     """``tag``: 0 raw, 1 a template other than the last one of the file, 2 the same again; raw lines don't reset it.
 
     The template before a line is looked for in its range of lines; the last ones of earlier ranges, a row each, are carried on.
     """
-    rows = _ranged(matched)
+    rows = ranged(matched, "line_no")
     ends = rows.where("template_id is not null").groupBy(*by, "range").agg(F.max_by("template_id", "line_no").alias("end"))
     all_ranges = rows.select(*by, "range").distinct().join(ends, [*by, "range"], "left")
-    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = all_ranges.select(*by, "range", F.last("end", True).over(earlier).alias("carried"))
+    carried = all_ranges.select(*by, "range", F.last("end", True).over(earlier_ranges(by)).alias("carried"))
     before = Window.partitionBy(*by, "range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(carried, [*by, "range"])
     last = F.coalesce(F.last("template_id", True).over(before), F.col("carried"))
@@ -100,12 +92,7 @@ def variable_columns(matched: DataFrame, by: list[str]) -> DataFrame:
 
     Rows are numbered inside ranges of lines, plus the rows of earlier ranges.
     """
-    rows = _ranged(matched.where("template_id is not null"))
-    keys = [*by, "template_id"]
-    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, "range").agg(F.count("*").alias("rows")).select(*keys, "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy(*keys, "range").orderBy("line_no"))
-    hits = rows.join(counts, [*keys, "range"]).withColumn("row_no", (place - 1 + F.col("first")).cast("bigint"))
+    hits = numbered(matched.where("template_id is not null"), [*by, "template_id"], "line_no", "row_no")
     long = hits.select(*by, "template_id", "line_no", "row_no", "types", F.posexplode("vars").alias("slot", "value"))
     return long.withColumn("slot_type", F.element_at("types", F.col("slot") + 1)).drop("types")
 

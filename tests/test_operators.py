@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import human_size
-from tessera.operators.columns import CODECS, codec_choice, column_costs
+from tessera.functions.scalars import zigzag as zigzag_code
+from tessera.operators.columns import CODECS, codec_choice, column_costs, decode_differences, dictionary, dictionary_ids, dictionary_values, with_differences
 from tessera.operators.filters import FILTERS
 from tessera.operators.lines import split_lines, variable_type, variables
-from tessera.operators import templates as templates_module
+from tessera.functions import ranges
 from tessera.operators.byte_stats import run_counts, stream_choice, stream_costs, table_frequencies
 from tessera.operators.phrases import lexeme_candidate, lexeme_pieces, replaced, restored, without_contained
 from tessera.operators.reports import append_runs, last_runs, with_previous
@@ -112,6 +113,32 @@ def test_column_sizes_against_an_emitter(spark):
         assert (r.bytes, r.codec) == (min(sizes)[0], min(sizes)[2])
 
 
+def test_ranges_of_columns_make_no_difference(spark, monkeypatch):
+    """Sizes, ids and decoded values are the same when columns are put in order three rows at a time."""
+    dice = random.Random(3)
+    columns = {k: [str(dice.randrange(10 ** dice.randrange(1, 16))) for _ in range(k)] for k in (1, 2, 3, 4, 7, 30)} | {50: ["7"] * 20, 51: ["x", "yy", "7"] * 5, 52: ["999999999999999", "0"] * 40}
+    df = spark.createDataFrame([(k, 5 * i // 2, v) for k, c in columns.items() for i, v in enumerate(c)], "key long, row_no long, value string")
+    encoded = with_differences(df.where("key != 51"), ["key"]).select("key", "row_no", F.coalesce("z1", zigzag_code(F.col("x"))).alias("z"), "len")
+
+    def found():
+        ids = dictionary_ids(df, ["key"])
+        frames = column_costs(df, ["key"]), ids, decode_differences(encoded, ["key"]), dictionary_values(ids.drop("value"), dictionary(df, ["key"]).select("key", "id", "value"), ["key"])
+        return [sorted(map(str, f.collect())) for f in frames]
+
+    whole = found()
+    monkeypatch.setattr(ranges, "RANGE", 3)
+    encoded = with_differences(df.where("key != 51"), ["key"]).select("key", "row_no", F.coalesce("z1", zigzag_code(F.col("x"))).alias("z"), "len")
+    assert found() == whole
+    assert whole[2] == sorted(map(str, df.where("key != 51").collect())) and whole[3] == sorted(map(str, df.collect()))
+
+
+def test_long_columns_of_large_numbers(spark):
+    """Codes whose sum is beyond 64 bits: no Rice code, and no overflow."""
+    df = spark.range(12000).selectExpr("1L as key", "id as row_no", "if(id % 2 = 0, '1', '999999999999999') as value")
+    (row,) = column_costs(df, ["key"]).collect()
+    assert (row.rice, row.rice2) == (None, None) and row.dict_packed == 1 + 1 + 2 + 16 + 9 + 12000 // 8
+
+
 def test_frames_and_chunks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, b in enumerate(EDGES):
@@ -188,7 +215,7 @@ def test_ranges_of_lines_make_no_difference(spark, monkeypatch):
         return tags, sorted((r.template_id, r.slot, r.row_no, r.value) for r in variable_columns(matched, ["file"]).collect())
 
     whole = found()
-    monkeypatch.setattr(templates_module, "RANGE", 3)
+    monkeypatch.setattr(ranges, "RANGE", 3)
     assert found() == whole and [t for _, _, t in whole[0]].count(2) > 30
 
 
