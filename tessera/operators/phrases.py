@@ -5,9 +5,9 @@ Phrases are n-grams of 3 to 10 bytes within a line; lexemes are runs of word-lik
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +24,34 @@ LEXEME = r"[0-9A-Za-z_\-./:@$]+" + "".join(rf"|{q}[^{q}\\]*(?:\\(?s:.)[^{q}\\]*)
 POSSESSIVE = r"[0-9A-Za-z_\-./:@$]++" + "".join(rf"|{q}[^{q}\\]*+(?:\\(?s:.)[^{q}\\]*+)*+{q}?+" for q in "\"'`")
 
 
+def frequent_grams(content: bytes) -> list[tuple[bytes, int]]:
+    """Grams of SHORTEST to LONGEST bytes that start at a byte that may start one, end in their line, and occur LEAST_TIMES or more.
+
+    Grams grow byte by byte from those that are frequent themselves; a place is dropped once its gram is not.
+    """
+    data = np.frombuffer(content, np.uint8)
+    breaks = np.append(np.flatnonzero((data == 10) | (data == 13)), len(data))
+    starts = np.flatnonzero(~np.isin(data, sorted(NO_START)))
+    left = breaks[np.searchsorted(breaks, starts)] - starts
+    gram, found = np.zeros(len(starts), np.int64), []
+    for size in range(1, LONGEST + 1):
+        fits = left >= size
+        starts, left, gram = starts[fits], left[fits], gram[fits]
+        _, first, gram, times = np.unique(gram << 8 | data[starts + size - 1], return_index=True, return_inverse=True, return_counts=True)
+        frequent = times >= LEAST_TIMES
+        if size >= SHORTEST:
+            found += [(content[p : p + size], t) for p, t in zip(starts[first[frequent]].tolist(), times[frequent].tolist(), strict=True)]
+        kept = frequent[gram]
+        starts, left, gram = starts[kept], left[kept], gram[kept]
+    return found
+
+
 def phrases(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """``phrase`` (hex), ``length, times, score`` and ``rank`` of the best phrases of each text."""
     fields = f"{id_col} bigint, phrase string, length bigint, times bigint, score bigint, rank bigint"
 
     def best(content: bytes) -> list[tuple]:
-        times: Counter[bytes] = Counter()
-        for line in content.replace(b"\r", b"\n").split(b"\n"):
-            starts = [i for i, b in enumerate(line) if b not in NO_START]
-            for size in range(SHORTEST, LONGEST + 1):
-                times.update(line[i : i + size] for i in starts if i + size <= len(line))
-        scored = [(-((len(p) - 2) * t - len(p) - 4), -len(p), p, t) for p, t in times.items() if t >= LEAST_TIMES]
+        scored = [(-((len(p) - 2) * t - len(p) - 4), -len(p), p, t) for p, t in frequent_grams(content)]
         scored = sorted(s for s in scored if -s[0] > 16)[:MOST_PHRASES]
         return [(p.hex().upper(), len(p), t, -s, k) for k, (s, _, p, t) in enumerate(scored)]
 

@@ -2,6 +2,7 @@
 
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from tessera.operators.filters import FILTERS
 from tessera.operators.lines import split_lines, variable_type, variables
 from tessera.functions import ranges
 from tessera.operators.byte_stats import run_counts, stream_choice, stream_costs, table_frequencies
-from tessera.operators.phrases import lexeme_candidate, lexeme_pieces, replaced, restored, without_contained
+from tessera.operators.phrases import frequent_grams, lexeme_candidate, lexeme_pieces, replaced, restored, without_contained
 from tessera.operators.reports import append_runs, last_runs, with_previous
 from tessera.operators.selection import CANDIDATES, FRAME, candidates, decoded, encoded, in_chunks, packed, winners
 from tessera.operators.templates import match_lines, mine_templates, rebuilt_lines, tagged_entries, variable_columns
@@ -262,6 +263,13 @@ def test_entries_inside_the_first_kept_ones_go(spark):
     assert [r.lexeme for r in found] == kept and [r.rank for r in found] == list(range(len(kept))) and len(kept) < len(ranked)
 
 
+@pytest.mark.parametrize("content", [*EDGES, b"key=12 key=13\r\nkey=14 key=15\n\nkey=16", b"abcabcabcabcabcabcabc", "año año año año ".encode() * 3])
+def test_frequent_grams_against_counting(content):
+    times = Counter(line[i : i + size] for line in content.replace(b"\r", b"\n").split(b"\n") for i in range(len(line)) for size in range(3, 11) if i + size <= len(line) and line[i] not in b"\xff\t ")
+    found = frequent_grams(content)
+    assert dict(found) == {g: t for g, t in times.items() if t >= 4} and len(dict(found)) == len(found)
+
+
 def test_replaced_lexemes_are_restored(spark):
     dice = random.Random(3)
     entries = [bytes(dice.choice(b"ab\xff") for _ in range(n)) for n in (4, 5, 6, 7)] + [b"abcd"] * 1 + [b"w%03d_" % k for k in range(200)]
