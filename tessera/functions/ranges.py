@@ -29,3 +29,14 @@ def numbered(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFra
     counts = rows.groupBy(*part).agg(F.count("*").alias("rows")).select(*part, first)
     place = F.row_number().over(Window.partitionBy(*part).orderBy(order)) - 1
     return rows.join(counts, part).withColumn(name, (F.col("first") + place).cast("bigint")).drop("range", "first")
+
+
+def overlapping(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """Adds ``range`` and ``again``: the last ``most`` rows of each range are rows of the next one, too, where ``again`` is true.
+
+    ``order`` counts the rows of each group without gaps, and ``most`` is at most RANGE.
+    """
+    place = F.floor(F.col(order) / RANGE)
+    at = lambda n, again: F.struct((place + n).alias("range"), F.lit(again).alias("again"))
+    late = F.pmod(F.col(order), F.lit(RANGE)) >= RANGE - most
+    return rows.select("*", F.inline(F.when(late, F.array(at(0, False), at(1, True))).otherwise(F.array(at(0, False)))))

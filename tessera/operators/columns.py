@@ -7,11 +7,13 @@ zeros survive. A null size means that the encoding does not apply.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.ranges import earlier_ranges, numbered, ranged
+from tessera.functions.ranges import earlier_ranges, numbered, overlapping, ranged
 from tessera.functions.scalars import bit_width, ceil_bytes, unzigzag, varint_len, zigzag
 
 #: Encodings in the order in which ties are settled.
@@ -23,26 +25,63 @@ CLIP = MOST_QUOTIENT << (MOST_REMAINDER_BITS + 1)
 MOST_ENTRIES = 4096
 
 
-def with_differences(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``len, x`` (null where it is no number), first and second differences ``d1, d2`` and their zigzag codes."""
-    w = Window.partitionBy(*keys).orderBy("row_no")
+def with_differences(values: DataFrame, keys: list[str], gapless: bool = False) -> DataFrame:
+    """Adds ``len, x`` (null where it is no number), first and second differences ``d1, d2`` and their zigzag codes.
+
+    Rows are put in order in ranges, each behind the last two rows of the one before. That takes numbers without gaps:
+    ``row_no`` has none where ``gapless`` is set, else rows are numbered first. ``pos`` is that number, ``changed`` says
+    that the value is not the one before. Where the length changes, or starts, ``start`` is ``pos``, ``len_before`` the
+    length until there, and ``start_before`` where it started, if it did in this range.
+    """
+    rows = values.withColumn("pos", F.col("row_no")) if gapless else numbered(values, keys, "row_no", "pos")
     x = F.when(F.col("value").rlike(r"^[0-9]{1,15}\z"), F.col("value").try_cast("bigint"))
-    rows = values.withColumns({"len": F.octet_length("value").cast("bigint"), "x": x, "pos": F.row_number().over(w).cast("bigint")})
-    rows = rows.withColumn("d1", F.col("x") - F.lag("x").over(w))
-    rows = rows.withColumn("d2", F.col("d1") - F.lag("d1").over(w))
+    rows = overlapping(rows.withColumns({"len": F.octet_length("value").cast("bigint"), "x": x}), "pos", 2)
+    w = Window.partitionBy(*keys, "range").orderBy("pos")
+    before = lambda c: F.lag(c).over(w)
+    rows = rows.withColumns({"d1": F.col("x") - before("x"), "len_before": before("len"), "pos_before": before("pos"), "changed": ~F.col("value").eqNullSafe(before("value"))})
+    rows = rows.withColumn("changed", F.col("changed") & F.col("pos_before").isNotNull())
+    rows = rows.withColumn("start", F.when(~F.col("again") & (F.col("pos_before").isNull() | ~F.col("len").eqNullSafe(F.col("len_before"))), F.col("pos")))
+    rows = rows.withColumns({"d2": F.col("d1") - before("d1"), "start_before": F.last("start", True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = rows.where("not again").drop("again", "pos_before")
     return rows.withColumns({"z1": zigzag(F.col("d1")), "z2": zigzag(F.col("d2"))})
 
 
+def _run_bytes(length: Column, run: Column) -> Column:
+    return varint_len(length) + varint_len(run)
+
+
+def _of_columns(rows: DataFrame, keys: list[str], found: dict[str, tuple[Callable, Column]], firsts: dict[str, Column]) -> DataFrame:
+    """One row for each column, from one for each of its ranges, with the size of its lengths, ``len_bytes``.
+
+    ``found`` has functions that give the same of parts and of their results, ``firsts`` the first values that are not null.
+    """
+    first = lambda value, order: F.min_by(value, F.when(value.isNotNull(), order))
+    pos, start, before = F.col("pos"), F.col("start"), F.col("start_before")
+    ended = F.sum(F.when(start.isNotNull() & before.isNotNull(), _run_bytes(F.col("len_before"), start - before)))
+    parts = rows.groupBy(*keys, "range").agg(
+        *[f(c).alias(name) for name, (f, c) in found.items()],
+        *[first(c, pos).alias(name) for name, c in firsts.items()],
+        F.count("start").alias("runs"), ended.alias("ended"), F.min("start").alias("first_start"), F.max("start").alias("last_start"),
+        F.min_by("len_before", "start").alias("len_before"), F.max("pos").alias("last_pos"), F.max_by("len", "pos").alias("last_len"),
+        F.sum(varint_len(F.col("len"))).alias("one_by_one"),
+    )
+    # the run that goes on into a range and ends there
+    parts = parts.withColumn("begun", F.last("last_start", True).over(earlier_ranges(keys)))
+    open_run = F.when(F.col("begun").isNotNull() & F.col("first_start").isNotNull(), _run_bytes(F.col("len_before"), F.col("first_start") - F.col("begun"))).otherwise(0)
+    parts = parts.withColumn("ended", F.coalesce("ended", F.lit(0)) + open_run)
+    whole = parts.groupBy(*keys).agg(
+        *[f(name).alias(name) for name, (f, _) in found.items()],
+        *[first(F.col(name), F.col("range")).alias(name) for name in firsts],
+        *[F.sum(c).alias(c) for c in ("runs", "ended", "one_by_one")], F.max("last_start").alias("last_start"), F.max("last_pos").alias("last_pos"), F.max_by("last_len", "range").alias("last_len"),
+    )
+    whole = whole.withColumn("as_runs", F.col("ended") + _run_bytes(F.col("last_len"), F.col("last_pos") + 1 - F.col("last_start")))
+    size = F.when(F.col("runs") == 1, 1 + varint_len(F.col("last_len"))).when(F.col("as_runs") < F.col("one_by_one"), 1 + varint_len(F.col("as_runs")) + F.col("as_runs")).otherwise(1 + F.col("one_by_one"))
+    return whole.withColumn("len_bytes", size.cast("bigint"))
+
+
 def length_model(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``len_bytes`` of each column: lengths as one value, as runs, or one by one; ``rows`` need ``len`` and ``pos``."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    whole = Window.partitionBy(*keys)
-    starts = rows.select(*keys, "pos", "len", (F.col("len") != F.lag("len").over(w)).alias("new"), F.count("*").over(whole).alias("n")).where("new is null or new")
-    run = F.coalesce(F.lead("pos").over(w), F.col("n") + 1) - F.col("pos")
-    runs = starts.withColumn("run", run)
-    sized = runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.first("len").alias("one"), F.sum(varint_len(F.col("len")) + varint_len(F.col("run"))).alias("p"), F.sum(varint_len(F.col("len")) * F.col("run")).alias("q"))
-    size = F.when(F.col("runs") == 1, 1 + varint_len(F.col("one"))).when(F.col("p") < F.col("q"), 1 + varint_len(F.col("p")) + F.col("p")).otherwise(1 + F.col("q"))
-    return sized.select(*keys, size.cast("bigint").alias("len_bytes"))
+    """``len_bytes`` of each column: lengths as one value, as runs, or one by one; ``rows`` are from ``with_differences``."""
+    return _of_columns(rows, keys, {}, {}).select(*keys, "len_bytes")
 
 
 def _distinct(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,49 +107,58 @@ def _packed(count: Column, width: Column) -> Column:
     return 9 + ceil_bytes(count * width)
 
 
-def column_costs(values: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each column: ``n`` and a size ``<codec>`` for each of CODECS."""
-    rows = with_differences(values, keys)
-    whole = Window.partitionBy(*keys)
-    # Rice needs its parameter before it can count: the bit length of the mean, from sums over the whole column
-    k = lambda z: F.least(F.lit(MOST_REMAINDER_BITS), bit_width(F.greatest(F.lit(1), F.floor(F.sum(F.when(F.col(z) > CLIP, CLIP).otherwise(F.col(z))).over(whole) / F.count(z).over(whole)))) - 1).cast("int")
-    rows = rows.withColumns({"k1": k("z1"), "k2": k("z2")})
-    rows = rows.withColumns({"q1": F.expr("shiftright(z1, k1)"), "q2": F.expr("shiftright(z2, k2)")})
-    col = F.col
-    agg = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.count("x").alias("numbers"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        F.sum(varint_len(col("len")) + col("len")).alias("raw_bytes"),
-        F.min("x").alias("low"),
-        F.max("x").alias("high"),
-        F.min_by("x", "pos").alias("x0"),
-        F.max(F.when(col("pos") == 2, col("z1"))).alias("z1_first"),
-        F.sum(varint_len(col("len")) + varint_len(F.coalesce("z1", zigzag(col("x"))))).alias("delta_bytes"),
-        F.sum(F.when(col("z1").isNotNull(), varint_len(col("z1")))).alias("z1_bytes"),
-        F.sum(F.when(col("z2").isNotNull(), varint_len(col("z2")))).alias("z2_bytes"),
-        F.max("z1").alias("z1_max"),
-        F.max("z2").alias("z2_max"),
-        F.sum(col("q1") + 1 + col("k1")).alias("rice_bits"),
-        F.sum(col("q2") + 1 + col("k2")).alias("rice2_bits"),
-        F.max("q1").alias("q1_max"),
-        F.max("q2").alias("q2_max"),
-    )
+def _entry_costs(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Dictionaries of the columns that may have one; the others' values, however many, are not put in order."""
+    values = _distinct(values, keys)
+    few = values.groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum("times").alias("rows")).where((F.col("distinct") <= MOST_ENTRIES) & (F.col("distinct") < F.col("rows")))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_row"))
-    entries = _distinct(values, keys).withColumn("id", (place - 1).cast("bigint")).groupBy(*keys).agg(
+    length = F.octet_length("value").cast("bigint")
+    return values.join(few.select(*keys), keys, "left_semi").withColumn("id", (place - 1).cast("bigint")).groupBy(*keys).agg(
         F.count("*").alias("distinct"),
-        F.sum(varint_len(F.octet_length("value").cast("bigint")) + F.octet_length("value")).alias("entry_bytes"),
-        F.sum(varint_len(col("id")) * col("times")).alias("id_bytes"),
+        F.sum(varint_len(length) + length).alias("entry_bytes"),
+        F.sum(varint_len(F.col("id")) * F.col("times")).alias("id_bytes"),
     )
-    agg = agg.join(entries, keys).join(length_model(rows, keys), keys)
+
+
+def column_costs(values: DataFrame, keys: list[str], gapless: bool = False) -> DataFrame:
+    """One row for each column: ``n`` and a size ``<codec>`` for each of CODECS; ``gapless``: ``row_no`` has no gaps."""
+    col, one = F.col, F.lit(1).cast("bigint")
+    found = {
+        "n": (F.sum, one),
+        "numbers": (F.sum, F.when(col("x").isNotNull(), one).otherwise(0)),
+        "changes": (F.sum, F.when(col("changed"), one).otherwise(0)),
+        "raw_bytes": (F.sum, varint_len(col("len")) + col("len")),
+        "low": (F.min, col("x")),
+        "high": (F.max, col("x")),
+        "delta_bytes": (F.sum, varint_len(col("len")) + varint_len(F.coalesce("z1", zigzag(col("x"))))),
+        "z1_bytes": (F.sum, F.when(col("z1").isNotNull(), varint_len(col("z1")))),
+        "z2_bytes": (F.sum, F.when(col("z2").isNotNull(), varint_len(col("z2")))),
+        "z1_max": (F.max, col("z1")),
+        "z2_max": (F.max, col("z2")),
+    }
+    for z in ("z1", "z2"):
+        # Rice's parameter follows from the mean of the whole column, so quotients are summed for each that there is
+        code = F.least(col(z), F.lit(CLIP))
+        found |= {f"{z}_{k}": (F.try_sum, F.when(col(z).isNotNull(), F.shiftright(code, k))) for k in range(MOST_REMAINDER_BITS + 1)}
+        found[f"{z}_sum"] = (F.sum, F.when(col(z).isNotNull(), code).cast("decimal(38,0)"))
+        found[f"{z}_count"] = (F.sum, F.when(col(z).isNotNull(), one))
+    rows = _of_columns(with_differences(values, keys, gapless), keys, found, {"x0": col("x"), "z1_first": col("z1"), "first_len": col("len")})
+
+    def rice(z: str) -> tuple[Column, Column]:
+        mean = F.floor(col(f"{z}_sum") / col(f"{z}_count")).cast("bigint")
+        k = F.least(F.lit(MOST_REMAINDER_BITS), bit_width(F.greatest(F.lit(1), mean)) - 1).cast("int")
+        quotients = F.element_at(F.array(*[col(f"{z}_{k}") for k in range(MOST_REMAINDER_BITS + 1)]), k + 1)
+        return quotients + (1 + k) * col(f"{z}_count"), F.floor(col(f"{z}_max") / F.pow(F.lit(2.0), k))
+
+    (bits1, most1), (bits2, most2) = rice("z1"), rice("z2")
+    rows = rows.withColumns({"rice_bits": bits1, "rice2_bits": bits2, "q1_max": most1, "q2_max": most2})
+    agg = rows.join(_entry_costs(values, keys), keys, "left")
     n, number, head = col("n"), col("numbers") == col("n"), 1 + col("len_bytes") + varint_len(col("x0"))
     second = F.when(n > 1, varint_len(col("z1_first"))).otherwise(0)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    first_len = F.octet_length("least").cast("bigint")
     sizes = {
         "raw": 1 + col("raw_bytes"),
-        "const": F.when(col("least") == col("most"), 1 + varint_len(first_len) + first_len),
+        "const": F.when(col("changes") == 0, 1 + varint_len(col("first_len")) + col("first_len")),
         "delta": F.when(number, 1 + col("delta_bytes")),
         "delta_compact": F.when(number, head + zero(col("z1_bytes"))),
         "delta2_compact": F.when(number, head + second + zero(col("z2_bytes"))),

@@ -46,7 +46,7 @@ def entry_bytes(tagged: DataFrame, by: list[str]) -> DataFrame:
 def column_bytes(values: DataFrame, by: list[str]) -> DataFrame:
     """Bytes of all columns of each file, each by its smallest encoding behind its length."""
     keys = [*by, "template_id", "slot"]
-    chosen = codec_choice(column_costs(values, keys), keys)
+    chosen = codec_choice(column_costs(values, keys, gapless=True), keys)
     return chosen.groupBy(*by).agg(F.sum(varint_len(F.col("bytes")) + F.col("bytes")).alias("column_bytes"))
 
 
@@ -90,7 +90,7 @@ def columns_deflated(lines: DataFrame, by: list[str], options: MiningOptions = S
 
     keys = [*by, "template_id", "slot"]
     values = variable_columns(matched, by).select(*keys, "row_no", "value")
-    encoded = codec_choice(column_costs(values, keys), keys).select(*keys, F.col("bytes").alias("encoded"))
+    encoded = codec_choice(column_costs(values, keys, gapless=True), keys).select(*keys, F.col("bytes").alias("encoded"))
     packed = size_of(values.withColumn("text", F.concat("value", F.lit("\n"))), keys, "row_no", "text").groupBy(*keys).agg(F.sum("bytes").alias("bytes"))
     columns = encoded.join(packed, keys).groupBy(*by).agg(F.sum(1 + varint_len(F.least("encoded", "bytes")) + F.least("encoded", "bytes")).alias("columns"))
     entry = F.concat(F.col("tag").cast("string"), F.when(F.col("tag") == 1, F.concat("template_id", F.lit("\n"))).when(F.col("tag") == 0, F.col("line")).otherwise(F.lit("")))

@@ -24,22 +24,22 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_codec_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_costs(values(spark, sf_dir), KEYS)
+    return column_costs(values(spark, sf_dir), KEYS, gapless=True)
 
 
 def codec_choice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec_choice(column_costs(values(spark, sf_dir), KEYS), KEYS)
+    return codec_choice(column_costs(values(spark, sf_dir), KEYS, gapless=True), KEYS)
 
 
 def _one_codec(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return column_costs(values(spark, sf_dir), KEYS).select(*KEYS, F.col(name).alias("bytes"))
+        return column_costs(values(spark, sf_dir), KEYS, gapless=True).select(*KEYS, F.col(name).alias("bytes"))
 
     return query
 
 
 def length_model_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_model(with_differences(values(spark, sf_dir), KEYS), KEYS)
+    return length_model(with_differences(values(spark, sf_dir), KEYS, gapless=True), KEYS)
 
 
 def dict_encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,17 +47,17 @@ def dict_encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zigzag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_differences(values(spark, sf_dir), KEYS).where("x is not null")
+    rows = with_differences(values(spark, sf_dir), KEYS, gapless=True).where("x is not null")
     return rows.select(*KEYS, "row_no", "z1", "z2", unzigzag(F.col("z1")).alias("d1"))
 
 
 def varint_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_differences(values(spark, sf_dir), KEYS).where("x is not null")
+    rows = with_differences(values(spark, sf_dir), KEYS, gapless=True).where("x is not null")
     return rows.groupBy("col", varint_len(F.coalesce("z1", zigzag(F.col("x")))).alias("bytes")).agg(F.count("*").alias("times"))
 
 
 def delta_decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_differences(values(spark, sf_dir).where("col != 'flag'"), KEYS)
+    rows = with_differences(values(spark, sf_dir).where("col != 'flag'"), KEYS, gapless=True)
     encoded = rows.select(*KEYS, "row_no", F.coalesce("z1", zigzag(F.col("x"))).alias("z"), "len")
     return decode_differences(encoded, KEYS)
 

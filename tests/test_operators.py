@@ -3,6 +3,7 @@
 import random
 import struct
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import human_size
 from tessera.functions.scalars import zigzag as zigzag_code
-from tessera.operators.columns import CODECS, codec_choice, column_costs, decode_differences, dictionary, dictionary_ids, dictionary_values, with_differences
+from tessera.operators.columns import CODECS, codec_choice, column_costs, decode_differences, dictionary, dictionary_ids, dictionary_values, length_model, with_differences
 from tessera.operators.filters import FILTERS
 from tessera.operators.lines import split_lines, variable_type, variables
 from tessera.functions import ranges
@@ -117,7 +118,7 @@ def test_column_sizes_against_an_emitter(spark):
 def test_ranges_of_columns_make_no_difference(spark, monkeypatch):
     """Sizes, ids and decoded values are the same when columns are put in order three rows at a time."""
     dice = random.Random(3)
-    columns = {k: [str(dice.randrange(10 ** dice.randrange(1, 16))) for _ in range(k)] for k in (1, 2, 3, 4, 7, 30)} | {50: ["7"] * 20, 51: ["x", "yy", "7"] * 5, 52: ["999999999999999", "0"] * 40}
+    columns = {k: [str(dice.randrange(10 ** dice.randrange(1, 16))) for _ in range(k)] for k in (1, 2, 3, 4, 7, 30)} | {49: ["12"] * 300 + ["9"] * 2 + ["13"] * 140} | {50: ["7"] * 20, 51: ["x", "yy", "7"] * 5, 52: ["999999999999999", "0"] * 40}
     df = spark.createDataFrame([(k, 5 * i // 2, v) for k, c in columns.items() for i, v in enumerate(c)], "key long, row_no long, value string")
     encoded = with_differences(df.where("key != 51"), ["key"]).select("key", "row_no", F.coalesce("z1", zigzag_code(F.col("x"))).alias("z"), "len")
 
@@ -130,6 +131,13 @@ def test_ranges_of_columns_make_no_difference(spark, monkeypatch):
     monkeypatch.setattr(ranges, "RANGE", 3)
     encoded = with_differences(df.where("key != 51"), ["key"]).select("key", "row_no", F.coalesce("z1", zigzag_code(F.col("x"))).alias("z"), "len")
     assert found() == whole
+    dense = spark.createDataFrame([(k, i, v) for k, c in columns.items() for i, v in enumerate(c)], "key long, row_no long, value string")
+    assert sorted(map(str, column_costs(dense, ["key"], gapless=True).collect())) == whole[0]
+    sizes = {r.key: r.len_bytes for r in length_model(with_differences(dense, ["key"], gapless=True), ["key"]).collect()}
+    for k, c in columns.items():
+        runs = [(n, len(list(r))) for n, r in groupby(map(len, c))]
+        as_runs, singly = sum(varint(n) + varint(r) for n, r in runs), sum(varint(len(v)) for v in c)
+        assert sizes[k] == (1 + varint(runs[0][0]) if len(runs) == 1 else 1 + varint(as_runs) + as_runs if as_runs < singly else 1 + singly)
     assert whole[2] == sorted(map(str, df.where("key != 51").collect())) and whole[3] == sorted(map(str, df.collect()))
 
 
