@@ -6,12 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def varint_len(x: Column) -> Column:
-    """Bytes of a number at 7 bits a byte, for numbers below 2^56."""
-    size = F.lit(1)
-    for bits in range(7, 56, 7):
-        size = size + F.when(x >= F.lit(1 << bits), 1).otherwise(0)
-    return size.cast("bigint")
+def varint_len(x: Column | str) -> Column:
+    """Bytes of a number at 7 bits a byte, for numbers below 2^56; as SQL, ``x`` is quicker to plan."""
+    if isinstance(x, str):
+        cases = " ".join(f"when {x} >= {1 << (7 * more)}L then {1 + more}L" for more in range(7, 0, -1))
+        return F.expr(f"case {cases} else 1L end")
+    size = F
+    for more in range(7, 0, -1):
+        size = size.when(x >= (1 << (7 * more)), 1 + more)
+    return size.otherwise(1).cast("bigint")
 
 
 def zigzag(x: Column) -> Column:

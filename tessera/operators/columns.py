@@ -46,36 +46,44 @@ def with_differences(values: DataFrame, keys: list[str], gapless: bool = False)
     return rows.withColumns({"z1": zigzag(F.col("d1")), "z2": zigzag(F.col("d2"))})
 
 
-def _run_bytes(length: Column, run: Column) -> Column:
+def _run_bytes(length: str, run: str) -> Column:
     return varint_len(length) + varint_len(run)
 
 
-def _of_columns(rows: DataFrame, keys: list[str], found: dict[str, tuple[Callable, Column]], firsts: dict[str, Column]) -> DataFrame:
+def _of_columns(rows: DataFrame, keys: list[str], found: dict[str, tuple[Callable, Column]], firsts: dict[str, Column], codes: tuple[str, ...] = ()) -> DataFrame:
     """One row for each column, from one for each of its ranges, with the size of its lengths, ``len_bytes``.
 
-    ``found`` has functions that give the same of parts and of their results, ``firsts`` the first values that are not null.
+    ``found`` has functions that give the same of parts and of their results, ``firsts`` the first values that are not
+    null. For each of ``codes`` there are the Rice parameter ``<code>_k`` and the ``<code>_bits`` it takes. The parameter
+    follows from the mean of the whole column, so ranges sum quotients for each that there is.
     """
     first = lambda value, order: F.min_by(value, F.when(value.isNotNull(), order))
     pos, start, before = F.col("pos"), F.col("start"), F.col("start_before")
-    ended = F.sum(F.when(start.isNotNull() & before.isNotNull(), _run_bytes(F.col("len_before"), start - before)))
+    ended = F.sum(F.when(start.isNotNull() & before.isNotNull(), _run_bytes("len_before", "start - start_before")))
     parts = rows.groupBy(*keys, "range").agg(
         *[f(c).alias(name) for name, (f, c) in found.items()],
         *[first(c, pos).alias(name) for name, c in firsts.items()],
+        *[F.expr(f"sum(shiftright(if({z} > {CLIP}, {CLIP}, {z}), {k})) as {z}_{k}") for z in codes for k in range(MOST_REMAINDER_BITS + 1)],
+        *[F.count(z).alias(f"{z}_count") for z in codes],
         F.count("start").alias("runs"), ended.alias("ended"), F.min("start").alias("first_start"), F.max("start").alias("last_start"),
         F.min_by("len_before", "start").alias("len_before"), F.max("pos").alias("last_pos"), F.max_by("len", "pos").alias("last_len"),
-        F.sum(varint_len(F.col("len"))).alias("one_by_one"),
+        F.sum(varint_len("len")).alias("one_by_one"),
     )
+    column = Window.partitionBy(*keys)
+    mean = lambda z: F.floor(F.sum(F.col(f"{z}_0").cast("decimal(38,0)")).over(column) / F.sum(f"{z}_count").over(column)).cast("bigint")
+    parts = parts.withColumns({"begun": F.last("last_start", True).over(earlier_ranges(keys))} | {f"{z}_k": F.least(F.lit(MOST_REMAINDER_BITS), bit_width(F.greatest(F.lit(1), mean(z))) - 1).cast("int") for z in codes})
     # the run that goes on into a range and ends there
-    parts = parts.withColumn("begun", F.last("last_start", True).over(earlier_ranges(keys)))
-    open_run = F.when(F.col("begun").isNotNull() & F.col("first_start").isNotNull(), _run_bytes(F.col("len_before"), F.col("first_start") - F.col("begun"))).otherwise(0)
-    parts = parts.withColumn("ended", F.coalesce("ended", F.lit(0)) + open_run)
+    open_run = F.when(F.col("begun").isNotNull() & F.col("first_start").isNotNull(), _run_bytes("len_before", "first_start - begun")).otherwise(0)
+    bits = lambda z: F.element_at(F.array(*[f"{z}_{k}" for k in range(MOST_REMAINDER_BITS + 1)]), F.col(f"{z}_k") + 1) + (1 + F.col(f"{z}_k")) * F.col(f"{z}_count")
     whole = parts.groupBy(*keys).agg(
         *[f(name).alias(name) for name, (f, _) in found.items()],
         *[first(F.col(name), F.col("range")).alias(name) for name in firsts],
-        *[F.sum(c).alias(c) for c in ("runs", "ended", "one_by_one")], F.max("last_start").alias("last_start"), F.max("last_pos").alias("last_pos"), F.max_by("last_len", "range").alias("last_len"),
+        *[a for z in codes for a in (F.max(f"{z}_k").alias(f"{z}_k"), F.try_sum(bits(z)).alias(f"{z}_bits"))],
+        F.sum("runs").alias("runs"), F.sum("one_by_one").alias("one_by_one"), F.sum(F.coalesce("ended", F.lit(0)) + open_run).alias("ended"),
+        F.max_by("last_len", "range").alias("last_len"), (F.max("last_pos") + 1 - F.max("last_start")).alias("last_run"),
     )
-    whole = whole.withColumn("as_runs", F.col("ended") + _run_bytes(F.col("last_len"), F.col("last_pos") + 1 - F.col("last_start")))
-    size = F.when(F.col("runs") == 1, 1 + varint_len(F.col("last_len"))).when(F.col("as_runs") < F.col("one_by_one"), 1 + varint_len(F.col("as_runs")) + F.col("as_runs")).otherwise(1 + F.col("one_by_one"))
+    whole = whole.withColumn("as_runs", F.col("ended") + _run_bytes("last_len", "last_run"))
+    size = F.when(F.col("runs") == 1, 1 + varint_len("last_len")).when(F.col("as_runs") < F.col("one_by_one"), 1 + varint_len("as_runs") + F.col("as_runs")).otherwise(1 + F.col("one_by_one"))
     return whole.withColumn("len_bytes", size.cast("bigint"))
 
 
@@ -110,13 +118,12 @@ def _packed(count: Column, width: Column) -> Column:
 def _entry_costs(values: DataFrame, keys: list[str]) -> DataFrame:
     """Dictionaries of the columns that may have one; the others' values, however many, are not put in order."""
     values = _distinct(values, keys)
-    few = values.groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum("times").alias("rows")).where((F.col("distinct") <= MOST_ENTRIES) & (F.col("distinct") < F.col("rows")))
+    few = values.groupBy(*keys).agg(F.count("*").alias("distinct"), F.sum("times").alias("rows"), F.max("first_row").alias("last")).where(F.col("last").isNotNull() & (F.col("distinct") <= MOST_ENTRIES) & (F.col("distinct") < F.col("rows")))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_row"))
-    length = F.octet_length("value").cast("bigint")
     return values.join(few.select(*keys), keys, "left_semi").withColumn("id", (place - 1).cast("bigint")).groupBy(*keys).agg(
         F.count("*").alias("distinct"),
-        F.sum(varint_len(length) + length).alias("entry_bytes"),
-        F.sum(varint_len(F.col("id")) * F.col("times")).alias("id_bytes"),
+        F.sum(varint_len("octet_length(value)") + F.octet_length("value")).alias("entry_bytes"),
+        F.sum(varint_len("id") * F.col("times")).alias("id_bytes"),
     )
 
 
@@ -127,50 +134,37 @@ def column_costs(values: DataFrame, keys: list[str], gapless: bool = False) -> D
         "n": (F.sum, one),
         "numbers": (F.sum, F.when(col("x").isNotNull(), one).otherwise(0)),
         "changes": (F.sum, F.when(col("changed"), one).otherwise(0)),
-        "raw_bytes": (F.sum, varint_len(col("len")) + col("len")),
+        "raw_bytes": (F.sum, varint_len("len") + col("len")),
         "low": (F.min, col("x")),
         "high": (F.max, col("x")),
-        "delta_bytes": (F.sum, varint_len(col("len")) + varint_len(F.coalesce("z1", zigzag(col("x"))))),
-        "z1_bytes": (F.sum, F.when(col("z1").isNotNull(), varint_len(col("z1")))),
-        "z2_bytes": (F.sum, F.when(col("z2").isNotNull(), varint_len(col("z2")))),
+        "delta_bytes": (F.sum, varint_len("len") + varint_len("coalesce(z1, 2 * x)")),
+        "z1_bytes": (F.sum, F.when(col("z1").isNotNull(), varint_len("z1"))),
+        "z2_bytes": (F.sum, F.when(col("z2").isNotNull(), varint_len("z2"))),
         "z1_max": (F.max, col("z1")),
         "z2_max": (F.max, col("z2")),
     }
-    for z in ("z1", "z2"):
-        # Rice's parameter follows from the mean of the whole column, so quotients are summed for each that there is
-        code = F.least(col(z), F.lit(CLIP))
-        found |= {f"{z}_{k}": (F.try_sum, F.when(col(z).isNotNull(), F.shiftright(code, k))) for k in range(MOST_REMAINDER_BITS + 1)}
-        found[f"{z}_sum"] = (F.sum, F.when(col(z).isNotNull(), code).cast("decimal(38,0)"))
-        found[f"{z}_count"] = (F.sum, F.when(col(z).isNotNull(), one))
-    rows = _of_columns(with_differences(values, keys, gapless), keys, found, {"x0": col("x"), "z1_first": col("z1"), "first_len": col("len")})
-
-    def rice(z: str) -> tuple[Column, Column]:
-        mean = F.floor(col(f"{z}_sum") / col(f"{z}_count")).cast("bigint")
-        k = F.least(F.lit(MOST_REMAINDER_BITS), bit_width(F.greatest(F.lit(1), mean)) - 1).cast("int")
-        quotients = F.element_at(F.array(*[col(f"{z}_{k}") for k in range(MOST_REMAINDER_BITS + 1)]), k + 1)
-        return quotients + (1 + k) * col(f"{z}_count"), F.floor(col(f"{z}_max") / F.pow(F.lit(2.0), k))
-
-    (bits1, most1), (bits2, most2) = rice("z1"), rice("z2")
-    rows = rows.withColumns({"rice_bits": bits1, "rice2_bits": bits2, "q1_max": most1, "q2_max": most2})
-    agg = rows.join(_entry_costs(values, keys), keys, "left")
-    n, number, head = col("n"), col("numbers") == col("n"), 1 + col("len_bytes") + varint_len(col("x0"))
-    second = F.when(n > 1, varint_len(col("z1_first"))).otherwise(0)
+    firsts = {"x0": col("x"), "z1_first": col("z1"), "first_len": col("len")}
+    agg = _of_columns(with_differences(values, keys, gapless), keys, found, firsts, ("z1", "z2")).join(_entry_costs(values, keys), keys, "left")
+    # the largest code has the largest quotient
+    few = lambda z: col(f"{z}_max") / F.pow(F.lit(2.0), f"{z}_k") < MOST_QUOTIENT + 1
+    n, number, head = col("n"), col("numbers") == col("n"), 1 + col("len_bytes") + varint_len("x0")
+    second = F.when(n > 1, varint_len("z1_first")).otherwise(0)
     zero = lambda c: F.coalesce(c, F.lit(0))
     sizes = {
         "raw": 1 + col("raw_bytes"),
-        "const": F.when(col("changes") == 0, 1 + varint_len(col("first_len")) + col("first_len")),
+        "const": F.when(col("changes") == 0, 1 + varint_len("first_len") + col("first_len")),
         "delta": F.when(number, 1 + col("delta_bytes")),
         "delta_compact": F.when(number, head + zero(col("z1_bytes"))),
         "delta2_compact": F.when(number, head + second + zero(col("z2_bytes"))),
-        "for_bitpack": F.when(number & (n >= 8) & (col("high") - col("low") <= WIDEST), 1 + col("len_bytes") + varint_len(col("low")) + _packed(n, bit_width(col("high") - col("low")))),
+        "for_bitpack": F.when(number & (n >= 8) & (col("high") - col("low") <= WIDEST), 1 + col("len_bytes") + varint_len("low") + _packed(n, bit_width(col("high") - col("low")))),
         "delta_bitpack": F.when(number & (n >= 8) & (col("z1_max") <= WIDEST), head + _packed(n - 1, bit_width(col("z1_max")))),
         "delta2_bitpack": F.when(number & (n >= 12) & (col("z2_max") <= WIDEST), head + second + _packed(n - 2, bit_width(col("z2_max")))),
-        "rice": F.when(number & (n >= 8) & (col("q1_max") <= MOST_QUOTIENT), head + 9 + ceil_bytes(col("rice_bits"))),
-        "rice2": F.when(number & (n >= 12) & (col("q2_max") <= MOST_QUOTIENT), head + second + 9 + ceil_bytes(col("rice2_bits"))),
-        "dict": F.when((n >= 3) & (col("distinct") < n) & (col("distinct") <= MOST_ENTRIES), 1 + varint_len(col("distinct")) + col("entry_bytes") + col("id_bytes")),
+        "rice": F.when(number & (n >= 8) & few("z1"), head + 9 + ceil_bytes(col("z1_bits"))),
+        "rice2": F.when(number & (n >= 12) & few("z2"), head + second + 9 + ceil_bytes(col("z2_bits"))),
+        "dict": F.when((n >= 3) & (col("distinct") < n) & (col("distinct") <= MOST_ENTRIES), 1 + varint_len("distinct") + col("entry_bytes") + col("id_bytes")),
         "dict_packed": F.when(
             (n >= 8) & (col("distinct") > 1) & (col("distinct") < n) & (col("distinct") <= 256),
-            1 + varint_len(col("distinct")) + col("entry_bytes") + _packed(n, bit_width(F.greatest(F.lit(1), col("distinct") - 1))),
+            1 + varint_len("distinct") + col("entry_bytes") + _packed(n, bit_width(F.greatest(F.lit(1), col("distinct") - 1))),
         ),
     }
     return agg.select(*keys, n.alias("n"), *[sizes[c].cast("bigint").alias(c) for c in CODECS])
