@@ -131,14 +131,24 @@ def chunked_size(sizes: Column) -> Column:
     return (CHUNK_FILE + F.coalesce(F.sum(CHUNK + sizes), F.lit(0))).cast("bigint")
 
 
+BLOCKED = T.ArrayType(T.StructType().add("block_size", T.LongType()).add("blocks", T.LongType()).add("bytes", T.LongType()))
+
+
 def block_tournament(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """For each key the block size whose blocks, each by its best filter, take the fewest bytes."""
-    total = None
-    for size in sizes:
-        blocks = in_chunks(rows, keys, size)
-        best = winners(candidates(blocks, [*keys, "chunk_no"]), [*keys, "chunk_no"])
-        frame = F.when(F.col("candidate") == "deflate", 0).otherwise(FRAME)
-        sized = best.groupBy(*keys).agg((BLOCK_FILE + F.sum(BLOCK + F.col("bytes") - frame)).cast("bigint").alias("bytes"), F.count("*").alias("blocks")).withColumn("block_size", F.lit(size).cast("bigint"))
-        total = sized if total is None else total.unionByName(sized)
-    best = F.min_by(F.struct("block_size", "blocks", "bytes"), F.struct("bytes", "block_size"))
-    return total.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+    """For each key the block size whose blocks, each by its best filter, take the fewest bytes; empty content has none.
+
+    Equal blocks, such as the one of a content below all sizes, are packed once, and only payloads that may win are decoded.
+    """
+
+    @F.pandas_udf(BLOCKED)
+    def blocked(contents: pd.Series) -> pd.Series:
+        def one(whole: bytes) -> list[dict]:
+            blocks = {size: [whole[k : k + size] for k in range(0, len(whole), size)] for size in sizes}
+            taken = {block: len(packed(block)[2]) for block in {b for some in blocks.values() for b in some}}
+            return [{"block_size": size, "blocks": len(some), "bytes": BLOCK_FILE + sum(BLOCK + taken[b] for b in some)} for size, some in blocks.items()]
+
+        return contents.map(lambda c: one(bytes(c)))
+
+    found = rows.where(F.octet_length("content") > 0).select(*keys, blocked("content").alias("all"))
+    best = F.array_min(F.transform("all", lambda b: F.struct(b["bytes"], b["block_size"], b["blocks"])))
+    return found.select(*keys, best.alias("b")).select(*keys, "b.block_size", "b.blocks", "b.bytes")
