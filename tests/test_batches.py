@@ -4,6 +4,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import phrases as phrase_ops
+from tessera.operators import selection
 from tessera.operators.filters import FILTERS, apply_filter, undo_filter
 from tessera.sources.tables import small_batches, table
 
@@ -42,3 +44,41 @@ def test_filters_and_inverses_run_in_one_worker(spark):
         back = filtered.select("content", undo_filter(F.col("filtered"), name, F.col("n")).alias("back"))
         assert back._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1, name
         assert all(bytes(r.content) == bytes(r.back) for r in back.collect()), name
+
+
+def test_phrases_are_handed_on_a_few_texts_at_a_time():
+    """Results of 300 texts are made for TEXTS texts at a time; before, for whole batches."""
+    batch = pd.DataFrame({"doc_id": range(300)})
+    pieces = list(phrase_ops.few_texts(iter([batch, batch[:5]])))
+    assert [len(p) for p in pieces] == [64, 64, 64, 64, 44, 5] and pd.concat(pieces[:5]).equals(batch)
+
+
+def test_numbers_of_entries_may_hold_the_mark():
+    """Entry 255 is written as 255, 1 behind the mark; before, that was taken for another mark."""
+    entries = [f"word{k:04}".encode() for k in range(400)]
+    content = b" \xff ".join(entries) + b"\xff"
+    payload, hits, _ = phrase_ops.replaced(content, entries)
+    assert hits == 400 and phrase_ops.restored(payload, entries) == content
+
+
+def test_lexemes_of_a_key_meet_in_one_exchange(spark):
+    """Texts are dealt by key once; counts, ranks and pruning need no other exchange, and texts are searched once."""
+    docs = spark.createDataFrame([(1, "alpha_beta_gamma_delta 'a quoted one' " * 3 + "1234567 abc12345"), (2, None)], "doc_id long, text string")
+    found = phrase_ops.lexemes(docs, ["doc_id"])
+    plan = phrase_ops.without_contained(phrase_ops.lexeme_scores(found, ["doc_id"]), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("regexp_extract_all") == 1
+    assert {(r.lexeme, r.times) for r in found.collect()} == {("alpha_beta_gamma_delta", 9), ("'a quoted one'", 3), ("abc12345", 1)}
+
+
+def test_block_tournament_against_blocks_one_by_one(spark):
+    contents = {0: b"", 1: b"short", 2: b"abcd" * 100, 3: bytes(range(256)) * 3, 4: b"x" * 100 + bytes(range(100))}
+    rows = spark.createDataFrame([(k, bytearray(c)) for k, c in contents.items()], "k long, content binary")
+    found = selection.block_tournament(rows, ["k"], [64, 256])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+    def taken(c, size):
+        blocks = [c[k : k + size] for k in range(0, len(c), size)]
+        least = [min((len(p := selection.encoded(b, n)) + (n != "deflate") * selection.FRAME, i, len(p)) for i, n in enumerate(selection.CANDIDATES))[2] for b in blocks]
+        return 13 + sum(9 + x for x in least), size, len(blocks)
+
+    assert {r.k: (r.bytes, r.block_size, r.blocks) for r in found.collect()} == {k: min(taken(c, 64), taken(c, 256)) for k, c in contents.items() if c}
