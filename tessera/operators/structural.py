@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import varint_len
 from tessera.operators.columns import codec_choice, column_costs
+from tessera.operators.lines import with_shape
 from tessera.operators.selection import FRAME, deflated
-from tessera.operators.templates import STANDARD, STRICT, WIDE, MiningOptions, dictionary_bytes, inline_bytes, match_lines, mine_templates, rebuilt_lines, tagged_entries, variable_columns
+from tessera.operators.templates import STANDARD, STRICT, WIDE, MiningOptions, counted_shapes, dictionary_bytes, inline_bytes, match_lines, mine_templates, ranked_templates, rebuilt_lines, tagged_entries, variable_columns
 
 HEADER, LEAST_LINES = 9, 4
 VARIANTS = {"columns": STANDARD, "columns-strict": STRICT, "columns-wide": WIDE}
@@ -53,26 +54,37 @@ def column_bytes(values: DataFrame, by: list[str]) -> DataFrame:
 def template_candidates(lines: DataFrame, by: list[str], variant_bytes: int = VARIANT_BYTES) -> DataFrame:
     """``candidate, bytes, valid`` and a report (``templates, hits, raw_lines, vars, same, original``) for each file."""
     originals = _fingerprint(lines, by)
-
-    def tried(name: str, options: MiningOptions, least: int) -> DataFrame:
-        some = lines.join(originals.where((F.col("lines") >= LEAST_LINES) & (F.col("original") >= least)).select(*by), by, "left_semi")
-        templates = mine_templates(some, by, options)
-        matched = match_lines(some, templates, by)
-        columns = variable_columns(matched, by)
-        back = _fingerprint(rebuilt_lines(columns, templates, matched.where("template_id is null"), by), by).select(*by, F.col("print").alias("again"))
-        found = dictionary_bytes(templates, by).join(entry_bytes(tagged_entries(matched, by), by), by).join(column_bytes(columns.select(*by, "template_id", "slot", "row_no", "value"), by), by)
-        found = found.join(originals, by).join(back, by)
-        common = HEADER + F.col("dictionary_bytes") + varint_len(F.col("lines"))
-        valid = F.col("again").eqNullSafe(F.col("print"))
-        report = ["templates", "hits", "raw_lines", "vars", "same", "original"]
-        wide = found.select(*by, F.lit(name).alias("candidate"), (FRAME + common + F.col("entry_bytes") + F.col("column_bytes")).cast("bigint").alias("bytes"), valid.alias("valid"), *report)
-        if name != "columns":
-            return wide
-        inline = found.join(inline_bytes(matched, by).select(*by, "line_bytes"), by)
-        rows = inline.select(*by, F.lit("rows").alias("candidate"), (FRAME + common + F.col("line_bytes")).cast("bigint").alias("bytes"), valid.alias("valid"), *report)
-        return rows.unionByName(wide)
-
-    return reduce(DataFrame.unionByName, [tried(k, o, 0 if k == "columns" else variant_bytes) for k, o in VARIANTS.items()])
+    names = F.array(*[F.lit(k) if k == "columns" else F.when(F.col("original") >= variant_bytes, F.lit(k)) for k in VARIANTS])
+    wanted = originals.where(F.col("lines") >= LEAST_LINES).select(*by, F.array_compact(names).alias("wanted"))
+    templates, matched = _tried(lines, wanted, by)
+    keys = [*by, "candidate"]
+    columns = variable_columns(matched, keys)
+    back = _fingerprint(rebuilt_lines(columns, templates, matched.where("template_id is null"), keys), keys).select(*keys, F.col("print").alias("again"))
+    found = dictionary_bytes(templates, keys).join(entry_bytes(tagged_entries(matched, keys), keys), keys).join(column_bytes(columns.select(*keys, "template_id", "slot", "row_no", "value"), keys), keys)
+    found = found.join(originals, by).join(back, keys)
+    inline = inline_bytes(matched.where("candidate = 'columns'"), by).select(*by, F.lit("columns").alias("candidate"), "line_bytes")
+    common = FRAME + HEADER + F.col("dictionary_bytes") + varint_len(F.col("lines"))
+    one = lambda name, size: F.struct(name.alias("candidate"), (common + size).cast("bigint").alias("bytes"))
+    both = F.array(one(F.col("candidate"), F.col("entry_bytes") + F.col("column_bytes")), F.when(F.col("line_bytes").isNotNull(), one(F.lit("rows"), F.col("line_bytes"))))
+    valid = F.col("again").eqNullSafe(F.col("print")).alias("valid")
+    report = ["templates", "hits", "raw_lines", "vars", "same", "original"]
+    found = found.join(inline, keys, "left").select(*by, F.explode(F.array_compact(both)).alias("c"), valid, *report)
+    return found.select(*by, "c.candidate", "c.bytes", "valid", *report)
+
+
+def _tried(lines: DataFrame, wanted: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Templates of each variant that is ``wanted(by..., wanted)``, and each line matched with those of each, by ``candidate``.
+
+    Lines are searched for variables once for all variants, and take the templates of all in one join.
+    """
+    shapes = counted_shapes(lines, by, WIDE)
+    templates = reduce(DataFrame.unionByName, [ranked_templates(shapes, by, o).withColumn("candidate", F.lit(k)) for k, o in VARIANTS.items()])
+    templates = templates.join(wanted, by).where(F.array_contains("wanted", F.col("candidate"))).drop("wanted")
+    numbers = F.map_from_entries(F.collect_list(F.struct("candidate", "template_id")))
+    shape = [*by, "parts", "types"]
+    rows = with_shape(lines).join(wanted, by).join(templates.groupBy(*shape).agg(numbers.alias("numbers")), shape, "left")
+    rows = rows.select("*", F.explode("wanted").alias("candidate")).withColumn("template_id", F.element_at("numbers", F.col("candidate")))
+    return templates, rows.drop("wanted", "numbers")
 
 
 def columns_deflated(lines: DataFrame, by: list[str], options: MiningOptions = STANDARD, piece: int = 1 << 16) -> DataFrame:

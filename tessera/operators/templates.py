@@ -35,9 +35,19 @@ def mine_templates(lines: DataFrame, by: list[str], options: MiningOptions = STA
     Shapes are counted with map-side combine. For one file the ranking is a distributed top-k; only its at most
     ``max_templates`` rows meet in one task to be numbered.
     """
+    return ranked_templates(counted_shapes(lines, by, options), by, options)
+
+
+def counted_shapes(lines: DataFrame, by: list[str], options: MiningOptions) -> DataFrame:
+    """Shapes of each group that ``options``, or stricter ones, may take, with ``hits, first_line, fixed_len, slots``."""
     shapes = with_shape(lines).where((F.col("fixed_len") >= options.min_fixed) & (F.size("vars") >= 1) & (F.size("vars") <= options.max_slots))
     found = shapes.groupBy(*by, "parts", "types").agg(F.count("*").alias("hits"), F.min("line_no").alias("first_line"), F.first("fixed_len").alias("fixed_len"))
-    found = found.withColumn("slots", F.size("types").cast("bigint"))
+    return found.withColumn("slots", F.size("types").cast("bigint"))
+
+
+def ranked_templates(found: DataFrame, by: list[str], options: MiningOptions) -> DataFrame:
+    """The shapes that are worth it, at most ``max_templates`` of each group, numbered by rank."""
+    found = found.where((F.col("fixed_len") >= options.min_fixed) & (F.col("slots") <= options.max_slots))
     found = found.withColumn("saving", (F.col("hits") - 1) * F.col("fixed_len") - 4 * F.col("slots") - F.col("fixed_len") - 16)
     found = found.where((F.col("hits") >= options.min_hits) & (F.col("saving") > options.min_saving))
     order = [((F.col("hits") - 1) * F.col("fixed_len")).desc(), F.col("first_line")]
