@@ -40,16 +40,18 @@ def decoded(payload: bytes, name: str, length: int) -> bytes:
     return content[:length]
 
 
-@F.pandas_udf(T.BinaryType())
-def encode(content: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([encoded(bytes(c), n) for c, n in zip(content, name, strict=True)], dtype=object)
+@F.pandas_udf(T.StructType().add("payload", T.BinaryType()).add("candidate", T.StringType()).add("length", T.IntegerType()))
+def encode(content: pd.Series, name: pd.Series) -> pd.DataFrame:
+    """Payloads with what ``decode`` takes: one argument, so that both run in one worker and payloads stay there."""
+    payloads = [encoded(bytes(c), n) for c, n in zip(content, name, strict=True)]
+    return pd.DataFrame({"payload": pd.Series(payloads, dtype=object), "candidate": name, "length": content.str.len()})
 
 
 @F.pandas_udf(T.StructType().add("content", T.BinaryType()).add("error", T.StringType()))
-def decode(payload: pd.Series, name: pd.Series, length: pd.Series) -> pd.DataFrame:
+def decode(packed: pd.DataFrame) -> pd.DataFrame:
     """A payload that is cut or damaged gives an error instead of content."""
     out = []
-    for p, k, n in zip(payload, name, length, strict=True):
+    for p, k, n in zip(packed["payload"], packed["candidate"], packed["length"], strict=True):
         try:
             out.append((decoded(bytes(p), k, n), None))
         except (zlib.error, ValueError) as error:

@@ -23,13 +23,13 @@ def read_chunks(spark: SparkSession, path: str, size: int = DEFAULT_CHUNK) -> Da
 def write_frames(rows: DataFrame, keys: list[str], path: str) -> None:
     """Stores each ``content`` as its smallest valid candidate, with its length and SHA-256."""
     best = winners(candidates(rows, keys), keys).select(*keys, "candidate")
-    frames = rows.join(best, keys).select(*keys, "candidate", F.octet_length("content").alias("length"), F.sha2("content", 256).alias("sha256"), encode("content", "candidate").alias("payload"))
+    frames = rows.join(best, keys).select(*keys, "candidate", F.octet_length("content").alias("length"), F.sha2("content", 256).alias("sha256"), encode("content", "candidate")["payload"].alias("payload"))
     frames.write.parquet(path)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Contents of stored frames; ``error`` says what is wrong where a payload does not give back its content."""
-    frames = spark.read.parquet(path).withColumn("back", decode("payload", "candidate", "length"))
+    frames = spark.read.parquet(path).withColumn("back", decode(F.struct("payload", "candidate", "length")))
     good = F.coalesce(F.sha2(F.col("back.content"), 256) == F.col("sha256"), F.lit(False))
     error = F.when(~good, F.coalesce("back.error", F.lit("content differs from its digest")))
     return frames.select("*", F.when(good, F.col("back.content")).alias("content"), error.alias("error")).drop("back", "payload")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from tessera.operators import phrases as phrase_ops
 from tessera.operators import selection
 from tessera.operators.filters import FILTERS, apply_filter, undo_filter
+from tessera.plans.registry import QUERIES
 from tessera.sources.tables import small_batches, table
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +83,12 @@ def test_block_tournament_against_blocks_one_by_one(spark):
         return 13 + sum(9 + x for x in least), size, len(blocks)
 
     assert {r.k: (r.bytes, r.block_size, r.blocks) for r in found.collect()} == {k: min(taken(c, 64), taken(c, 256)) for k, c in contents.items() if c}
+
+
+def python_steps(query, spark):
+    return QUERIES[query](spark, SF)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_candidates_are_encoded_and_decoded_in_one_worker(spark):
+    """Payloads stay in the worker that made them; before, a second worker of each core held them, too."""
+    assert python_steps("candidate_roundtrip", spark) == 1
