@@ -72,7 +72,7 @@ def counted(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 
 
 def histogram(counts: DataFrame, id_col: str) -> DataFrame:
-    return counts.select(id_col, F.posexplode("counts").alias("byte", "times")).where("times > 0")
+    return counts.select(id_col, F.posexplode_outer("counts").alias("byte", "times")).where("times > 0")
 
 
 def entropy(counts: Column, n: Column) -> Column:
@@ -142,5 +142,5 @@ def table_frequencies(counts: pd.Series) -> pd.Series:
 
 def initial_frequencies(counts: DataFrame, id_col: str, total: int = 4096) -> DataFrame:
     """Share of each byte in ``total``, at least 1: where a table of 12-bit probabilities starts."""
-    rows = counts.select(id_col, "n", F.posexplode("counts").alias("byte", "times")).where("times > 0")
+    rows = counts.select(id_col, "n", F.posexplode_outer("counts").alias("byte", "times")).where("times > 0")
     return rows.select(id_col, "byte", F.greatest(F.lit(1), F.floor(F.col("times") * total / F.col("n"))).cast("bigint").alias("freq"))

@@ -92,3 +92,9 @@ def python_steps(query, spark):
 def test_candidates_are_encoded_and_decoded_in_one_worker(spark):
     """Payloads stay in the worker that made them; before, a second worker of each core held them, too."""
     assert python_steps("candidate_roundtrip", spark) == 1
+
+
+def test_bytes_are_counted_once(spark):
+    """Spark filters a generator's input by its size; before, that counted all texts a second time."""
+    assert python_steps("rans_initial_freq", spark) == 1
+    assert python_steps("byte_histogram", spark) == 1
