@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 LINE = r"[^\n]*\n|[^\n]+"
 _H = "[0-9A-Fa-f]"
+#: All variables start with a hex digit; asked first, that ends most searches at their first character.
 TOKEN = (
-    rf"{_H}{{8}}-{_H}{{4}}-{_H}{{4}}-{_H}{{4}}-{_H}{{12}}"
+    rf"(?={_H})(?:{_H}{{8}}-{_H}{{4}}-{_H}{{4}}-{_H}{{4}}-{_H}{{12}}"
     rf"|(?=[0-9]*[A-Fa-f])(?:{_H}{{64}}|{_H}{{40}}|{_H}{{32}}|{_H}{{24}}|{_H}{{16}})(?!{_H})"
-    r"|(?<![0-9A-Za-z])[0-9]{2,}+|[0-9]{2,}+(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])[0-9]{2,}+|[0-9]{2,}+(?![0-9A-Za-z]))"
 )
 #: Types of variables.
 NUMBER, UUID, HEX = 1, 2, 3
@@ -41,12 +42,15 @@ def variable_type(value: Column) -> Column:
 
 
 def with_shape(lines: DataFrame) -> DataFrame:
-    """Adds ``parts, types, vars, fixed_len`` of each line."""
-    return (
-        lines.withColumns({"parts": fixed_parts(F.col("line")), "vars": variables(F.col("line"))})
-        .withColumn("types", F.transform("vars", variable_type))
-        .withColumn("fixed_len", F.octet_length(F.array_join("parts", "")).cast("bigint"))
-    )
+    """Adds ``parts, types, vars, fixed_len`` of each line.
+
+    They come out of a generator of one row: filters and joins on them stay above it, so no line is searched again for these.
+    """
+    found = lines.withColumns({"_parts": fixed_parts(F.col("line")), "_vars": variables(F.col("line"))})
+    types = F.transform("_vars", variable_type).alias("types")
+    length = F.octet_length(F.array_join("_parts", "")).cast("bigint").alias("fixed_len")
+    shape = F.struct(F.col("_parts").alias("parts"), F.col("_vars").alias("vars"), types, length)
+    return found.select(*lines.columns, F.inline(F.array(shape)))
 
 
 def rendered_events(events: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def columns_deflated(lines: DataFrame, by: list[str], options: MiningOptions = S
     Columns, tags and raw lines, and the file itself, are deflated in pieces of ``piece`` rows, so no task holds a whole file.
     """
     templates = mine_templates(lines, by, options)
-    matched = tagged_entries(match_lines(lines, templates, by), by)
+    matched = match_lines(lines, templates, by)
 
     def size_of(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
         rows = rows.withColumn("piece", F.floor(F.col(order) / piece))
@@ -106,7 +106,7 @@ def columns_deflated(lines: DataFrame, by: list[str], options: MiningOptions = S
     packed = size_of(values.withColumn("text", F.concat("value", F.lit("\n"))), keys, "row_no", "text").groupBy(*keys).agg(F.sum("bytes").alias("bytes"))
     columns = encoded.join(packed, keys).groupBy(*by).agg(F.sum(1 + varint_len(F.least("encoded", "bytes")) + F.least("encoded", "bytes")).alias("columns"))
     entry = F.concat(F.col("tag").cast("string"), F.when(F.col("tag") == 1, F.concat("template_id", F.lit("\n"))).when(F.col("tag") == 0, F.col("line")).otherwise(F.lit("")))
-    entries = size_of(matched.withColumn("text", entry), by, "line_no", "text").groupBy(*by).agg(F.sum("bytes").alias("entries"))
+    entries = size_of(tagged_entries(matched, by).withColumn("text", entry), by, "line_no", "text").groupBy(*by).agg(F.sum("bytes").alias("entries"))
     whole = size_of(lines, by, "line_no", "line").groupBy(*by).agg(F.sum("bytes").alias("deflate"))
     out = _fingerprint(lines, by).select(*by, "original").join(whole, by).join(dictionary_bytes(templates, by), by, "left").join(entries, by).join(columns, by, "left")
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -69,9 +69,9 @@ def tagged_entries(matched: DataFrame, by: list[str]) -> DataFrame:
     The template before a line is looked for in its range of lines; the last ones of earlier ranges, a row each, are carried on.
     """
     rows = ranged(matched, "line_no")
-    ends = rows.where("template_id is not null").groupBy(*by, "range").agg(F.max_by("template_id", "line_no").alias("end"))
-    all_ranges = rows.select(*by, "range").distinct().join(ends, [*by, "range"], "left")
-    carried = all_ranges.select(*by, "range", F.last("end", True).over(earlier_ranges(by)).alias("carried"))
+    hit = F.when(F.col("template_id").isNotNull(), F.col("line_no"))
+    ends = rows.groupBy(*by, "range").agg(F.max_by("template_id", hit).alias("end"))
+    carried = ends.select(*by, "range", F.last("end", True).over(earlier_ranges(by)).alias("carried"))
     before = Window.partitionBy(*by, "range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(carried, [*by, "range"])
     last = F.coalesce(F.last("template_id", True).over(before), F.col("carried"))

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from tessera.operators import phrases as phrase_ops
 from tessera.operators import selection
 from tessera.operators.filters import FILTERS, apply_filter, undo_filter
+from tessera.operators.templates import match_lines, mine_templates, tagged_entries
 from tessera.plans.registry import QUERIES
 from tessera.sources.tables import small_batches, table
 
@@ -98,3 +99,16 @@ def test_bytes_are_counted_once(spark):
     """Spark filters a generator's input by its size; before, that counted all texts a second time."""
     assert python_steps("rans_initial_freq", spark) == 1
     assert python_steps("byte_histogram", spark) == 1
+
+
+def test_lines_are_searched_once_a_pass(spark):
+    """Filters on shapes are above the search, and tags take one pass more; before, filters searched again, and tags took two."""
+    lines = spark.createDataFrame([("a", k, f"entry {k + 10} of the log, again\n") for k in range(9)], "file string, line_no long, line string")
+    templates = mine_templates(lines, ["file"])
+    searches = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("split(")
+    assert searches(templates) == 1
+    matched = match_lines(lines, templates, ["file"])
+    assert searches(matched) == 2
+    tagged = tagged_entries(matched, ["file"])
+    assert searches(tagged) == 4
+    assert [r.tag for r in tagged.orderBy("line_no").collect()] == [1] + [2] * 8
