@@ -37,7 +37,7 @@ def odd_like_oracle(spark, name, sf_dir):
     assert rows(registry.QUERIES[name](spark, str(sf_dir)).toPandas()) == rows(con.execute(registry.ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", ["byte_entropy", "stream_cost_nohuff", "rans_initial_freq", "byte_histogram"])
+@pytest.mark.parametrize("name", ["byte_entropy", "textual_classifier", "stream_cost_nohuff", "rans_initial_freq", "byte_histogram"])
 def test_odd_texts_like_oracle(spark, name, tmp_path):
     """Texts without bytes and rows without id; before, they had rows that SQL does not have."""
     odd_like_oracle(spark, name, tmp_path)
