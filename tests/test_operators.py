@@ -271,6 +271,23 @@ def test_entries_inside_the_first_kept_ones_go(spark):
     assert [r.lexeme for r in found] == kept and [r.rank for r in found] == list(range(len(kept))) and len(kept) < len(ranked)
 
 
+def test_entries_inside_any_kept_one_go(spark):
+    """No limit on the entries that are kept or looked into; before, 4,096 and the first 64."""
+    dice = random.Random(8)
+    random_words = sorted({"".join(dice.choice("abé") for _ in range(dice.randrange(3, 12))) for _ in range(900)}, key=lambda _: dice.random())
+    ranked = [*((1, w, 300 - k // 4, k) for k, w in enumerate(random_words)), *((2, f"<{k:05}>", 200, k) for k in range(4600))]
+    ranked += [(2, f"{k:05}", 20, 4600 + i) for i, k in enumerate((3, 70, 4400, 4590, 9999))]
+    kept = {1: [], 2: [f"<{k:05}>" for k in range(4600)] + ["09999"]}
+    for _, word, score, _ in ranked[: len(random_words)]:
+        if score >= 250 or not any(word in k for k in kept[1]):
+            kept[1].append(word)
+    rows = spark.createDataFrame(ranked, "doc_id long, lexeme string, score long, rank long").repartition(3, "lexeme")
+    found = without_contained(rows, ["doc_id"], least=250).orderBy("doc_id", "rank").collect()
+    for key in kept:
+        assert [r.lexeme for r in found if r.doc_id == key] == kept[key] and [r.rank for r in found if r.doc_id == key] == list(range(len(kept[key])))
+    assert len(kept[1]) < len(random_words)
+
+
 @pytest.mark.parametrize("content", [*EDGES, b"key=12 key=13\r\nkey=14 key=15\n\nkey=16", b"abcabcabcabcabcabcabc", "año año año año ".encode() * 3])
 def test_frequent_grams_against_counting(content):
     times = Counter(line[i : i + size] for line in content.replace(b"\r", b"\n").split(b"\n") for i in range(len(line)) for size in range(3, 11) if i + size <= len(line) and line[i] not in b"\xff\t ")

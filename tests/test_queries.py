@@ -29,18 +29,30 @@ def test_like_oracle(spark, name):
 ODD = [(1, ""), (2, None), (3, "a"), (4, "a" * 24), (5, "ab\n\n"), (6, "\x01\x01" + "a" * 21 + "\n\n"), (7, "é€\0x"), (8, "a" * 64 + "b" * 32 + "c" * 31 + "d"), (None, "no id\n\n")]
 
 
-def odd_like_oracle(spark, name, sf_dir):
-    docs = pd.DataFrame(ODD, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+def documents_like_oracle(spark, name, sf_dir, texts):
+    docs = pd.DataFrame(texts, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
     docs.to_parquet(f"{sf_dir}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
-    assert rows(registry.QUERIES[name](spark, str(sf_dir)).toPandas()) == rows(con.execute(registry.ORACLE[name]).df())
+    found = registry.QUERIES[name](spark, str(sf_dir)).toPandas()
+    assert rows(found) == rows(con.execute(registry.ORACLE[name]).df())
+    return found
 
 
 @pytest.mark.parametrize("name", ["byte_entropy", "textual_classifier", "stream_cost_nohuff", "rans_initial_freq", "byte_histogram"])
 def test_odd_texts_like_oracle(spark, name, tmp_path):
     """Texts without bytes and rows without id; before, they had rows that SQL does not have."""
-    odd_like_oracle(spark, name, tmp_path)
+    documents_like_oracle(spark, name, tmp_path, ODD)
+
+
+def test_pruned_lexemes_have_no_limit(spark, tmp_path):
+    """A text with over 4,096 entries, some inside late ones; before, ranks from 4,096 went, and only 64 entries were looked into."""
+    words = [f"identifier_{k:05}" for k in range(4300)]
+    short = [f"er_{k:05}" for k in (5, 50, 500, 4200)]
+    texts = [(1, " ".join(words * 4 + short * 4)), (2, " ".join(words[:3] * 2)), (None, " ".join(words[:9] * 9)), (3, ""), (4, None)]
+    found = documents_like_oracle(spark, "lexeme_scores_pruned", tmp_path, texts)
+    one = found[found.doc_id == 1]
+    assert set(one.lexeme) == set(words) and sorted(one["rank"]) == list(range(4300)) and set(found.doc_id) == {1, 2}
 
 
 def test_every_oracle_has_a_query():
